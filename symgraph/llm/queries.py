@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from .exact_dedup import exact_dedup
+from .lang_crf import identify
 from .simhash import near_groups
 
 
@@ -12,6 +13,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_language_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify(_table(spark, sf_dir, "documents"))
+
+
 def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_groups(_table(spark, sf_dir, "documents"), words=4, most_bits=4)
 
@@ -20,7 +25,7 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op3_simhash_near_dedup": op3_simhash_near_dedup, "op6_exact_dedup": op6_exact_dedup}
+QUERIES = {"op1_language_crf": op1_language_crf, "op3_simhash_near_dedup": op3_simhash_near_dedup, "op6_exact_dedup": op6_exact_dedup}
 
 ORACLE_SQL = {
     "op6_exact_dedup": """
