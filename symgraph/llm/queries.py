@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .exact_dedup import exact_dedup
 from .lang_crf import identify
 from .simhash import near_groups
+from .toxicity import score
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,7 +26,11 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_language_crf": op1_language_crf, "op3_simhash_near_dedup": op3_simhash_near_dedup, "op6_exact_dedup": op6_exact_dedup}
+def op8_toxicity_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+QUERIES = {"op1_language_crf": op1_language_crf, "op3_simhash_near_dedup": op3_simhash_near_dedup, "op6_exact_dedup": op6_exact_dedup, "op8_toxicity_cnn": op8_toxicity_cnn}
 
 ORACLE_SQL = {
     "op6_exact_dedup": """
