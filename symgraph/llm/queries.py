@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .exact_dedup import exact_dedup
 from .lang_crf import identify
+from .packing import pack
 from .simhash import near_groups
 from .toxicity import score
 
@@ -22,6 +23,12 @@ def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_groups(_table(spark, sf_dir, "documents"), words=4, most_bits=4)
 
 
+def op4_mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_table(spark, sf_dir, "documents"))
 
@@ -30,7 +37,7 @@ def op8_toxicity_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
-QUERIES = {"op1_language_crf": op1_language_crf, "op3_simhash_near_dedup": op3_simhash_near_dedup, "op6_exact_dedup": op6_exact_dedup, "op8_toxicity_cnn": op8_toxicity_cnn}
+QUERIES = {"op1_language_crf": op1_language_crf, "op3_simhash_near_dedup": op3_simhash_near_dedup, "op4_mixture_packing": op4_mixture_packing, "op6_exact_dedup": op6_exact_dedup, "op8_toxicity_cnn": op8_toxicity_cnn}
 
 ORACLE_SQL = {
     "op6_exact_dedup": """
