@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from . import line_dedup as lines
 from .decontam import leaks
 from .exact_dedup import exact_dedup
 from .lang_crf import identify
@@ -30,6 +32,11 @@ def op4_mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = lines.line_dedup(_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_table(spark, sf_dir, "documents"))
 
@@ -42,9 +49,10 @@ def op8_toxicity_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
-QUERIES = {"op1_language_crf": op1_language_crf, "op3_simhash_near_dedup": op3_simhash_near_dedup, "op4_mixture_packing": op4_mixture_packing, "op6_exact_dedup": op6_exact_dedup, "op7_qgram_decontamination": op7_qgram_decontamination, "op8_toxicity_cnn": op8_toxicity_cnn}
+QUERIES = {"op1_language_crf": op1_language_crf, "op3_simhash_near_dedup": op3_simhash_near_dedup, "op4_mixture_packing": op4_mixture_packing, "op5_line_dedup": op5_line_dedup, "op6_exact_dedup": op6_exact_dedup, "op7_qgram_decontamination": op7_qgram_decontamination, "op8_toxicity_cnn": op8_toxicity_cnn}
 
 ORACLE_SQL = {
+    "op5_line_dedup": lines.ORACLE,
     "op6_exact_dedup": """
         SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
                doc_id IS NOT DISTINCT FROM max(doc_id) OVER w AS kept, sha256(coalesce(text, '')) AS text_sha256
