@@ -2,8 +2,8 @@
 
 A passage of L characters that is found with at most e edits still shares L - q + 1 - q * e of its q-grams
 with the place, all on diagonals at most e apart. So the q-grams that a document shares with a passage are
-counted in diagonal bands that overlap by half, a band with fewer than that bound is dropped, and the rest
-are verified by an alignment within the band.
+counted in diagonal bands that overlap by half, a band with fewer than that bound is dropped, and the rest,
+once the same bound holds for shorter q-grams, are verified by an alignment within the band.
 
 Texts are compared in lower case with every run of other than letters and digits as one space. A
 benchmark item is one passage, or, if it is long, windows of it, so that a part that leaked is found too.
@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from .common import text_or_empty, written
 
 Q, RATE, WINDOW, STEP, BLOCK_CHARS, PIECE = 8, 0.1, 160, 80, 4 << 20, 3 << 20
-_BITS = 22
+_BITS, _SLOTS = 22, 18
 
 
 @lru_cache(1)
@@ -74,6 +74,7 @@ class Passages:
     of: np.ndarray
     place: np.ndarray
     seen: np.ndarray
+    slot: np.ndarray
 
 
 def passages(items: list[tuple[int, str]], q: int = Q, rate: float = RATE, window: int = WINDOW, step: int = STEP) -> Passages:
@@ -96,7 +97,7 @@ def passages(items: list[tuple[int, str]], q: int = Q, rate: float = RATE, windo
     unique, begin = np.unique(grams[order], return_index=True)
     seen = np.zeros(1 << _BITS, bool)
     seen[(grams >> np.uint64(64 - _BITS)).astype(np.int64)] = True
-    return Passages(np.array(ids), codes, edits, size - q + 1 - q * edits, unique, np.append(begin, len(grams)), of[order], place[order], seen)
+    return Passages(np.array(ids), codes, edits, size - q + 1 - q * edits, unique, np.append(begin, len(grams)), of[order], place[order], seen, np.searchsorted(unique, np.arange(1 << _SLOTS, dtype=np.uint64) << np.uint64(64 - _SLOTS)))
 
 
 def bands(codes: np.ndarray, p: Passages, q: int = Q) -> tuple[np.ndarray, np.ndarray]:
@@ -105,8 +106,15 @@ def bands(codes: np.ndarray, p: Passages, q: int = Q) -> tuple[np.ndarray, np.nd
     x = np.flatnonzero(p.seen[(h >> np.uint64(64 - _BITS)).astype(np.int64)])
     if not len(x):
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    at = np.minimum(np.searchsorted(p.grams, h[x]), len(p.grams) - 1)
-    known = p.grams[at] == h[x]
+    hx, end = h[x], len(p.grams) - 1
+    at = np.minimum(p.slot[(hx >> np.uint64(64 - _SLOTS)).astype(np.int64)], end)
+    less = np.flatnonzero(p.grams[at] < hx)
+    while len(less):  # few grams share a slot
+        at[less] += 1
+        less = less[at[less] <= end]
+        less = less[p.grams[at[less]] < hx[less]]
+    at = np.minimum(at, end)
+    known = p.grams[at] == hx
     x, at = x[known], at[known]
     low, n = p.begin[at], p.begin[at + 1] - p.begin[at]
     if not len(x):
@@ -126,9 +134,26 @@ def bands(codes: np.ndarray, p: Passages, q: int = Q) -> tuple[np.ndarray, np.nd
     return of, ((key & (1 << 40) - 1) - (1 << 24)) * (p.edits[of] + 1)
 
 
-def aligned(text: np.ndarray, patterns: np.ndarray, first: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Least edits with which each whole pattern (a row) meets a stretch of `text` on the `width` diagonals from
-    its `first`, and that stretch: (edits, start, end). One step a character of the patterns, all at once."""
+def likely(text: np.ndarray, p: Passages, of: np.ndarray, first: np.ndarray, q: int = 4) -> np.ndarray:
+    """Which bands also meet the bound for shorter q-grams, counted in the whole stretch of text that the band spans."""
+    h = (gram_hashes(text, q) & np.uint64(0xFFFFFFFF)).astype(np.int64)
+    size = np.array([len(c) for c in p.codes], np.int64)[of]
+    begin, end = np.clip(first, 0, len(h)), np.clip(first + size + 2 * (p.edits[of] + 1), 0, len(h))
+    n = np.maximum(end - begin, 0)
+    row = np.arange(len(of)) << 32
+    there = np.repeat(begin - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
+    there = np.unique(h[there] + np.repeat(row, n))
+    own = {i: (gram_hashes(p.codes[i], q) & np.uint64(0xFFFFFFFF)).astype(np.int64) for i in np.unique(of)}
+    grams = np.concatenate([own[i] + r for i, r in zip(of, row, strict=True)])
+    at = np.minimum(np.searchsorted(there, grams), max(len(there) - 1, 0))
+    kept = np.concatenate(([0], np.cumsum(there[at] == grams))) if len(there) else np.zeros(len(grams) + 1, int)
+    ends = np.cumsum(size - q + 1)
+    return kept[ends] - kept[ends - (size - q + 1)] >= size - q + 1 - q * p.edits[of]
+
+
+def aligned(text: np.ndarray, patterns: np.ndarray, sizes: np.ndarray, first: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Least edits with which each pattern (the first of `sizes` codes of a row) meets a stretch of `text` on the
+    `width` diagonals from its `first`, and that stretch: (edits, start, end). One step a character, all at once."""
     n, far = len(first), np.int32(1 << 20)
     step = np.arange(width, dtype=np.int32)
     padded = np.concatenate((np.zeros(1, text.dtype), text, np.zeros(1, text.dtype)))
@@ -136,7 +161,15 @@ def aligned(text: np.ndarray, patterns: np.ndarray, first: np.ndarray, width: in
     cost = np.where((place >= 0) & (place <= len(text)), np.int32(0), far)
     begin = np.broadcast_to(step, (n, width)).copy()
     edge = np.full((n, 1), far, np.int32)
-    for y in range(patterns.shape[1]):
+    rows = np.arange(n)
+    out = np.full(n, far), first.copy(), first.copy()
+    for y in range(int(sizes.max(initial=0)) + 1):
+        done = np.flatnonzero(sizes == y)
+        if len(done):
+            best = cost[done].argmin(axis=1)
+            out[0][done], out[1][done], out[2][done] = cost[done, best], first[done] + begin[done, best], first[done] + best + y
+        if y == patterns.shape[1]:
+            break
         here = padded[np.clip(place + (y + 1), 0, len(text) + 1)]
         keep = cost + np.where(here == 0, far, here != patterns[:, y, None]).astype(np.int32)
         drop = np.concatenate((cost[:, 1:] + 1, edge), axis=1)
@@ -147,11 +180,9 @@ def aligned(text: np.ndarray, patterns: np.ndarray, first: np.ndarray, width: in
         moved = now - step
         run = np.minimum.accumulate(moved, axis=1)
         at = np.maximum.accumulate(np.where(moved == run, step, 0), axis=1)
-        begin = np.take_along_axis(origin, at, axis=1)
+        begin = origin[rows[:, None], at]
         cost = np.minimum(run + step, far)
-    best = cost.argmin(axis=1)
-    rows = np.arange(n)
-    return cost[rows, best], first + begin[rows, best], first + best + patterns.shape[1]
+    return out
 
 
 def hits(texts: list[str], p: Passages) -> list[tuple[int, int, int, int, int]]:
@@ -166,21 +197,25 @@ def hits(texts: list[str], p: Passages) -> list[tuple[int, int, int, int, int]]:
         size += len(codes) + gap
     joined, begins = np.concatenate(parts), np.array(starts)
     of, first = bands(joined, p)
+    if len(of):
+        good = likely(joined, p, of, first)
+        of, first = of[good], first[good]
     found: dict[tuple[int, int], tuple[int, int, int]] = {}
-    size_of = np.array([len(c) for c in p.codes])[of] if len(of) else of
-    for size in np.unique(size_of):
-        own = np.flatnonzero(size_of == size)
-        for some in np.array_split(own, -(-len(own) // 2048)):
-            e = int(p.edits[of[some[0]]])
-            edits, a, b = aligned(joined, np.stack([p.codes[i] for i in of[some]]), first[some] - e, 4 * e + 3)
-            good = np.flatnonzero((edits <= e) & (b > a))
-            doc = np.searchsorted(begins, a[good], side="right") - 1
-            for i, d in zip(good.tolist(), doc.tolist(), strict=True):
-                at, base = origin[d], begins[d]
-                one = (int(edits[i]), int(at[a[i] - base]), int(at[b[i] - 1 - base]) + 1)
-                key = (d, p.items[of[some[i]]].item())
-                if key not in found or one < found[key]:
-                    found[key] = one
+    e = int(p.edits[of].max(initial=0))
+    for some in np.array_split(np.arange(len(of)), max(1, -(-len(of) // 1024))):
+        sizes = np.array([len(p.codes[i]) for i in of[some]], np.int64)
+        patterns = np.zeros((len(some), int(sizes.max(initial=0))), np.uint32)
+        for row, i in enumerate(of[some]):
+            patterns[row, : sizes[row]] = p.codes[i]
+        edits, a, b = aligned(joined, patterns, sizes, first[some] - p.edits[of[some]], 4 * e + 3)
+        good = np.flatnonzero((edits <= p.edits[of[some]]) & (b > a))
+        doc = np.searchsorted(begins, a[good], side="right") - 1
+        for i, d in zip(good.tolist(), doc.tolist(), strict=True):
+            at, base = origin[d], begins[d]
+            one = (int(edits[i]), int(at[a[i] - base]), int(at[b[i] - 1 - base]) + 1)
+            key = (d, p.items[of[some[i]]].item())
+            if key not in found or one < found[key]:
+                found[key] = one
     return [(*key, *x) for key, x in sorted(found.items())]
 
 
