@@ -10,6 +10,7 @@ from .decontam import leaks
 from .exact_dedup import exact_dedup
 from .lang_crf import identify
 from .packing import pack
+from .pii import pseudonymized
 from .simhash import near_groups
 from .toxicity import score
 
@@ -49,7 +50,11 @@ def op8_toxicity_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
-QUERIES = {"op1_language_crf": op1_language_crf, "op3_simhash_near_dedup": op3_simhash_near_dedup, "op4_mixture_packing": op4_mixture_packing, "op5_line_dedup": op5_line_dedup, "op6_exact_dedup": op6_exact_dedup, "op7_qgram_decontamination": op7_qgram_decontamination, "op8_toxicity_cnn": op8_toxicity_cnn}
+def op9_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pseudonymized(_table(spark, sf_dir, "documents")).select("doc_id", "text", "n_found", "n_replaced")
+
+
+QUERIES = {"op1_language_crf": op1_language_crf, "op3_simhash_near_dedup": op3_simhash_near_dedup, "op4_mixture_packing": op4_mixture_packing, "op5_line_dedup": op5_line_dedup, "op6_exact_dedup": op6_exact_dedup, "op7_qgram_decontamination": op7_qgram_decontamination, "op8_toxicity_cnn": op8_toxicity_cnn, "op9_feistel_pseudonyms": op9_feistel_pseudonyms}
 
 ORACLE_SQL = {
     "op5_line_dedup": lines.ORACLE,
