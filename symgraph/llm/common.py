@@ -106,6 +106,23 @@ def components(edges: DataFrame, nodes_checkpoint: str = "cc", rounds: int = 60)
     return written(star.unionByName(star.select(F.col("root").alias("node"), "root").distinct()), nodes_checkpoint)
 
 
+def maybe_in(df: DataFrame, keys: DataFrame, of: Column, out: str) -> DataFrame:
+    """Adds boolean `out`: false only where the hash `of` (a long) is not among the longs of `keys` (one column).
+
+    A bitmap of the keys, 16 bits a key but 16 MB at most whatever the size of `keys`, is broadcast. What it lets through
+    by chance must be sorted out by a join, which this makes small.
+    """
+    (name,) = keys.columns
+    bits = 1 << max(15, min(27, (16 * keys.count()).bit_length()))
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(bits))
+    rows = keys.select(place(F.col(name)).alias("p")).groupBy(F.shiftright("p", 15).alias("__part"))
+    table = written(rows.agg(F.bitmap_construct_agg(F.col("p") % 32768).alias("__map")), "bitmap")
+    marked = df.withColumn("__bit", place(of)).withColumn("__part", F.shiftright("__bit", 15)).join(F.broadcast(table), "__part", "left")
+    byte = F.conv(F.hex(F.substring("__map", (F.floor((F.col("__bit") % 32768) / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    hit = F.call_function("shiftright", byte, (F.col("__bit") % 8).cast("int")) % 2 == 1
+    return marked.withColumn(out, F.coalesce(hit, F.lit(False))).drop("__bit", "__part", "__map")
+
+
 def before_in_block(df: DataFrame, block: list[str], order: list[Column], size: str, out: str) -> DataFrame:
     """Adds `out`: the sum of `size` over the rows that come earlier in the same block."""
     w = Window.partitionBy(*block).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import line_dedup as lines
+from . import warc
 from .decontam import leaks
 from .exact_dedup import exact_dedup
 from .lang_crf import identify
@@ -54,9 +55,15 @@ def op9_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pseudonymized(_table(spark, sf_dir, "documents")).select("doc_id", "text", "n_found", "n_replaced")
 
 
-QUERIES = {"op1_language_crf": op1_language_crf, "op3_simhash_near_dedup": op3_simhash_near_dedup, "op4_mixture_packing": op4_mixture_packing, "op5_line_dedup": op5_line_dedup, "op6_exact_dedup": op6_exact_dedup, "op7_qgram_decontamination": op7_qgram_decontamination, "op8_toxicity_cnn": op8_toxicity_cnn, "op9_feistel_pseudonyms": op9_feistel_pseudonyms}
+def op10_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = warc.archive_pages(_table(spark, sf_dir, "pages"))
+    return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+QUERIES = {"op1_language_crf": op1_language_crf, "op3_simhash_near_dedup": op3_simhash_near_dedup, "op4_mixture_packing": op4_mixture_packing, "op5_line_dedup": op5_line_dedup, "op6_exact_dedup": op6_exact_dedup, "op7_qgram_decontamination": op7_qgram_decontamination, "op8_toxicity_cnn": op8_toxicity_cnn, "op9_feistel_pseudonyms": op9_feistel_pseudonyms, "op10_warc_index": op10_warc_index}
 
 ORACLE_SQL = {
+    "op10_warc_index": warc.ORACLE,
     "op5_line_dedup": lines.ORACLE,
     "op6_exact_dedup": """
         SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
