@@ -7,7 +7,8 @@ once are dropped; the others are joined, and each match is extended to the line
 decides whether all four lines repeat. Lines of a run of four or more that has come before, in order of
 doc_id and place, are deleted.
 
-Only hashes are shuffled until the end, when the deleted runs are joined to the texts. The first place of
+Only hashes are shuffled until the end, when the deleted runs are joined to the texts that have any; bitmaps of
+bounded size keep most other rows out of the joins. The first place of
 a fingerprint is a pre-aggregated minimum, so no task gathers all places of a common line.
 """
 
@@ -16,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import text_or_empty, written
+from .common import maybe_in, text_or_empty, written
 
 WORDS, RUN = 16, 4
 _W, _H = r"[^ \t\r\n]", r"[ \t\r]"
@@ -55,7 +56,8 @@ def repeated_runs(lines: DataFrame) -> DataFrame:
     """(doc_id, key, runs): the stretches of lines to delete, as an array in order of (first, last)."""
     prints = fingerprints(lines)
     common = written(prints.groupBy("g").count().where("count > 1").select("g"), "common")
-    again = written(prints.join(common, "g", "left_semi"), "again")
+    again = maybe_in(prints, common, F.col("g"), "maybe").where("maybe").drop("maybe")
+    again = written(again.join(common.hint("merge"), "g", "left_semi"), "again")
     sides = F.array(
         F.struct(F.lit(True).alias("early"), F.col("before").alias("line"), (F.col("pos") - 1).alias("at")),
         F.struct(F.lit(False).alias("early"), F.col("after").alias("line"), F.col("pos").alias("at")),
@@ -63,7 +65,7 @@ def repeated_runs(lines: DataFrame) -> DataFrame:
     fours = again.select("doc_id", "key", "g", F.explode(sides).alias("s")).select("doc_id", "key", "g", "s.*").where("line is not null")
     same = ["g", "early", "line"]
     first = written(fours.groupBy(*same).agg(F.min(F.struct("doc_id", "key", "at")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n"), "first")
-    later = fours.join(first, same).where(F.struct("doc_id", "key", "at") > F.col("first")).select("doc_id", "key", "at").distinct()
+    later = fours.join(first.hint("merge"), same).where(F.struct("doc_id", "key", "at") > F.col("first")).select("doc_id", "key", "at").distinct()
     ordered = Window.partitionBy("doc_id", "key").orderBy("at")
     apart = F.when(F.col("at") > F.lag("at").over(ordered) + RUN, 1).otherwise(0)
     islands = later.withColumn("apart", apart).withColumn("island", F.sum("apart").over(ordered))
@@ -88,13 +90,17 @@ def line_dedup(docs: DataFrame, lines: str = "n_lines", removed: str = "n_remove
     table gives no rows. If columns named `lines` or `removed` are there already, they are replaced.
     """
     hashes = written(hashed(docs), "lines")
-    cuts = repeated_runs(hashes).select(F.col("doc_id").alias("__id"), F.col("key").alias("__key"), F.col("runs").alias("__runs"))
-    at = docs["doc_id"].eqNullSafe(F.col("__id")) & (F.xxhash64(text_or_empty(), F.lit(1)) == F.col("__key"))
-    out = docs.drop(*({lines, removed} - {"doc_id", "text"})).join(cuts, at, "left")
-    gone = F.coalesce(F.aggregate("__runs", F.lit(0), lambda n, r: n + r["b"] - r["a"] + 1), F.lit(0)).cast("long")
+    runs = repeated_runs(hashes)
     own = [c for c in docs.columns if c not in (lines, removed)]
-    text = F.when(F.col("__runs").isNull(), F.col("text")).otherwise(kept_text(F.col("text").cast("string"), F.col("__runs"))).alias("text")
-    return out.select(*[text if c == "text" else F.col(f"`{c}`") for c in own], F.size(lines_of(text_or_empty())).cast("long").alias(lines), gone.alias(removed))
+    text, count = F.col("text").cast("string"), F.size(lines_of(text_or_empty())).cast("long").alias(lines)
+    marked = docs.select(*own, F.xxhash64(text_or_empty(), F.lit(1)).alias("__key"))
+    marked = maybe_in(marked, runs.select(F.xxhash64("doc_id", "key").alias("k")), F.xxhash64("doc_id", "__key"), "__maybe")
+    whole = marked.where(~F.col("__maybe")).select(*[text.alias(c) if c == "text" else F.col(f"`{c}`") for c in own], count, F.lit(0).cast("long").alias(removed))
+    cuts = runs.select(F.col("doc_id").alias("__id"), F.col("key").alias("__cut"), F.col("runs").alias("__runs")).hint("merge")
+    some = marked.where("__maybe").join(cuts, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("__cut")), "left")
+    gone = F.coalesce(F.aggregate("__runs", F.lit(0), lambda n, r: n + r["b"] - r["a"] + 1), F.lit(0)).cast("long").alias(removed)
+    kept = F.when(F.col("__runs").isNull(), text).otherwise(kept_text(text, F.col("__runs"))).alias("text")
+    return whole.unionByName(some.select(*[kept if c == "text" else F.col(f"`{c}`") for c in own], count, gone))
 
 
 #: DuckDB: the rows of the query, from the definition alone: every run of four lines that has come before.
