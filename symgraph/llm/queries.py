@@ -13,6 +13,7 @@ from .lang_crf import identify
 from .packing import pack
 from .pii import pseudonymized
 from .simhash import near_groups
+from .suffix_dedup import suffix_dedup
 from .toxicity import score
 
 
@@ -24,6 +25,10 @@ def op1_language_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(_table(spark, sf_dir, "documents"))
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup(_table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_groups(_table(spark, sf_dir, "documents"), words=4, most_bits=4)
 
@@ -60,7 +65,7 @@ def op10_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-QUERIES = {"op1_language_crf": op1_language_crf, "op3_simhash_near_dedup": op3_simhash_near_dedup, "op4_mixture_packing": op4_mixture_packing, "op5_line_dedup": op5_line_dedup, "op6_exact_dedup": op6_exact_dedup, "op7_qgram_decontamination": op7_qgram_decontamination, "op8_toxicity_cnn": op8_toxicity_cnn, "op9_feistel_pseudonyms": op9_feistel_pseudonyms, "op10_warc_index": op10_warc_index}
+QUERIES = {"op1_language_crf": op1_language_crf, "op2_suffix_dedup": op2_suffix_dedup, "op3_simhash_near_dedup": op3_simhash_near_dedup, "op4_mixture_packing": op4_mixture_packing, "op5_line_dedup": op5_line_dedup, "op6_exact_dedup": op6_exact_dedup, "op7_qgram_decontamination": op7_qgram_decontamination, "op8_toxicity_cnn": op8_toxicity_cnn, "op9_feistel_pseudonyms": op9_feistel_pseudonyms, "op10_warc_index": op10_warc_index}
 
 ORACLE_SQL = {
     "op10_warc_index": warc.ORACLE,
