@@ -30,10 +30,11 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def shared_path(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder, to be dropped by `release`."""
+def shared_path(spark: SparkSession, name: str, held: bool = True) -> str:
+    """A fresh path in the shared folder, to be dropped by `release` if `held`."""
     path = f"{shared_dir(spark)}/tables/{name}-{uuid.uuid4().hex}"
-    _TABLES.setdefault(spark.sparkContext.applicationId, []).append(path)
+    if held:
+        _TABLES.setdefault(spark.sparkContext.applicationId, []).append(path)
     return path
 
 
@@ -45,10 +46,9 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession, keep: int = 0) -> None:
-    """Delete the tables written so far (but the newest `keep`). Only for results that are stored elsewhere."""
-    held = _TABLES.get(spark.sparkContext.applicationId, [])
-    gone, held[:] = held[: len(held) - keep], held[len(held) - keep :]
+def release(spark: SparkSession) -> None:
+    """Delete the working tables written so far: for a pipeline, once a stage's result is stored and read from there."""
+    gone = _TABLES.pop(spark.sparkContext.applicationId, [])
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     for path in gone:
         where = jvm.org.apache.hadoop.fs.Path(path)

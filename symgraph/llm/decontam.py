@@ -262,6 +262,27 @@ def blocks(benchmark: DataFrame, most: int = BLOCK_CHARS) -> Iterator[list[tuple
         yield [(r["item_id"], r["text"]) for r in own.select("item_id", "text").orderBy("item_id", "text").collect()]
 
 
+def _clean(p: Passages):
+    @F.pandas_udf("boolean")
+    def clean(texts: pd.Series) -> pd.Series:
+        out = np.ones(len(texts), bool)
+        out[[x[0] for x in found_in(texts.tolist(), p)]] = False
+        return pd.Series(out)
+
+    return clean.asNondeterministic()
+
+
+def without_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = RATE) -> DataFrame:
+    """`docs` (text, any other columns) without the rows in which a benchmark item is found, see `leaks`.
+
+    Each row is judged by its own text, so nothing is shuffled. Null texts stay; an empty benchmark keeps all.
+    """
+    rows = docs
+    for block in blocks(benchmark):
+        rows = rows.where(_clean(passages(block, rate=rate))(text_or_empty()))
+    return rows
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, key: str = "doc_id") -> DataFrame:
     """One row per document and benchmark item found in it: doc_id, item_id, edits, start, end.
 

@@ -231,19 +231,15 @@ def sample(docs: DataFrame, learn: Column, per_language: int = PER_LANGUAGE, win
     return texts, langs
 
 
-def predict(docs: DataFrame, m: Model, *keep: Column) -> DataFrame:
-    """`keep` columns of each row, then lang_pred, score, n_words, n_switches.
-
-    A null text or one without letters is `und` with score 0. score: the mean posterior of the language over
-    the text's words. n_switches: neighbouring words whose likeliest languages differ.
-    """
-    rows = docs.select(*keep, text_or_empty().alias("__text"))
-    kept = [f for f in rows.schema if f.name != "__text"]
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            out = []
-            for w, gamma in label_words(pdf["__text"].tolist(), m):
+def labelled(m: Model):
+    """A UDF from a text to (lang_pred, score, n_words, n_switches), see `predict`. Marked as not deterministic so
+    that a filter on it does not make Spark run it twice."""
+
+    @F.pandas_udf("lang_pred string, score double, n_words long, n_switches long")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for texts in batches:
+            out = [pd.DataFrame({"lang_pred": [], "score": [], "n_words": [], "n_switches": []})] if not len(texts) else []
+            for w, gamma in label_words(texts.tolist(), m):
                 best = gamma.argmax(axis=1)
                 switch = np.concatenate(([0], np.cumsum(np.concatenate(([0], best[1:] != best[:-1])))))
                 total = np.concatenate((np.zeros((1, gamma.shape[1])), np.cumsum(gamma, axis=0, dtype=np.float64)))
@@ -255,11 +251,31 @@ def predict(docs: DataFrame, m: Model, *keep: Column) -> DataFrame:
                     "lang_pred": np.where(some, np.array(m.labels, object)[share.argmax(axis=1)], UNKNOWN),
                     "score": np.where(some, share.max(axis=1).clip(0, 1), 0.0), "n_words": b - a, "n_switches": changes,
                 }))
-            made = pd.concat(out, ignore_index=True) if out else pd.DataFrame({"lang_pred": [], "score": [], "n_words": [], "n_switches": []})
-            yield pd.concat([pdf.drop(columns="__text").reset_index(drop=True), made], axis=1)
+            yield pd.concat(out, ignore_index=True)
+
+    return run.asNondeterministic()
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept)
-    return rows.mapInPandas(run, f"{fields}, lang_pred string, score double, n_words long, n_switches long")
+
+def predict(docs: DataFrame, m: Model, *keep: Column) -> DataFrame:
+    """`keep` columns of each row, then lang_pred, score, n_words, n_switches.
+
+    A null text or one without letters is `und` with score 0. score: the mean posterior of the language over
+    the text's words. n_switches: neighbouring words whose likeliest languages differ.
+    """
+    return docs.select(*keep, labelled(m)(text_or_empty()).alias("__l")).select("*", "__l.*").drop("__l")
+
+
+def in_language(docs: DataFrame, least: float = 0.35) -> DataFrame:
+    """`docs` (doc_id, text, lang, any other columns) without texts that have no language: those without letters and
+    those of which no language holds a share of `least`. `lang` becomes the predicted one.
+
+    The model is learned from the rows that have a language; where none has one, only texts without letters go.
+    Null and empty texts go; repeated rows share their fate; an empty table gives no rows.
+    """
+    m = fit(*sample(docs, F.lit(True)))
+    rows = docs.withColumn("__l", labelled(m)(text_or_empty()))
+    rows = rows.where((F.col("__l.n_words") > 0) & (F.col("__l.score") >= least))
+    return rows.select(*[F.col("__l.lang_pred").alias(c) if c == "lang" else F.col(f"`{c}`") for c in docs.columns])
 
 
 def identify(docs: DataFrame, folds: int = 4, held: int = 2) -> DataFrame:

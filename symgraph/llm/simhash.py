@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, text_or_empty, written
+from .common import components, maybe_in, text_or_empty, written
 
 BITS, BLOCKS, MOST_BITS, PIVOTS, LARGE, LEVELS = 64, 6, 4, 16, 8192, 4
 
@@ -196,3 +196,16 @@ def near_groups(docs: DataFrame, words: int = 4, most_bits: int = MOST_BITS) ->
     least = written(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "least")
     labels = written(rooted.join(least, "root").select("fp", "component_id"), "labels")
     return marked.join(labels, "fp", "left").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def one_of_each(docs: DataFrame, words: int = 5, most_bits: int = MOST_BITS) -> DataFrame:
+    """`docs` (doc_id, text, any other columns) with one document of each group of near copies: the least doc_id.
+
+    Rows without a doc_id stay, since they can't be told apart; so do all rows that repeat a doc_id that stays.
+    Only documents that go are joined to the texts, by way of a bitmap of bounded size.
+    """
+    gone = near_groups(docs, words, most_bits).where("doc_id is not null and doc_id <> component_id").select(F.col("doc_id").alias("__gone"))
+    gone = written(gone.distinct(), "gone")
+    marked = maybe_in(docs, gone.select(F.xxhash64("__gone").alias("k")), F.xxhash64("doc_id"), "__maybe")
+    some = marked.where("__maybe").join(gone.hint("merge"), F.col("doc_id") == F.col("__gone"), "left_anti")
+    return marked.where("not __maybe").unionByName(some).drop("__maybe")
