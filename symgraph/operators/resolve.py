@@ -16,6 +16,7 @@ from functools import reduce
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
 
 from symgraph.functions.shared import materialized
 from symgraph.functions.text import module_paths
@@ -65,7 +66,7 @@ def import_keys(path: str, target: str | None, lang: str) -> tuple[list[str], st
     return ([at, at.rsplit(".", 1)[0], *more] if lang == "html" else [at, *more]), clean
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(ArrayType(StringType()))
 def _import_keys(path: pd.Series, target: pd.Series, lang: pd.Series) -> pd.Series:
     """The module names, and last the suffix."""
     out = []
@@ -75,7 +76,7 @@ def _import_keys(path: pd.Series, target: pd.Series, lang: pd.Series) -> pd.Seri
     return pd.Series(out)
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(ArrayType(StringType()))
 def _module_paths(path: pd.Series) -> pd.Series:
     return path.map(module_paths)
 

@@ -384,7 +384,7 @@ def tokenize(spark, d):
 
 
 @query(
-    """WITH e AS (SELECT event_id, user_id, epoch(ts)::BIGINT AS sec FROM events),
+    """WITH e AS (SELECT event_id, user_id, floor(epoch(ts))::BIGINT AS sec FROM events),
     r AS (SELECT DISTINCT user_id, sec // 86400 * 86400 AS lo, sec // 86400 * 86400 + 86399 AS hi FROM e UNION SELECT DISTINCT user_id, sec // 3600 * 3600, sec // 3600 * 3600 + 3599 FROM e)
     SELECT event_id AS point, arg_min(lo, hi - lo) AS range, min(hi - lo) AS size FROM e JOIN r USING (user_id) WHERE sec BETWEEN lo AND hi GROUP BY event_id""",
     star_graph=False,
@@ -526,7 +526,7 @@ def dashboard_filter(spark, d):
 
 
 @query(
-    """WITH e AS (SELECT user_id, epoch(ts)::BIGINT // 60 AS lo, epoch(ts)::BIGINT // 60 + (floor(value)::BIGINT % 7) AS hi FROM events),
+    """WITH e AS (SELECT user_id, floor(epoch(ts))::BIGINT // 60 AS lo, floor(epoch(ts))::BIGINT // 60 + (floor(value)::BIGINT % 7) AS hi FROM events),
     m AS (SELECT *, max(hi) OVER (PARTITION BY user_id ORDER BY lo, hi ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prev FROM e),
     i AS (SELECT *, sum(CASE WHEN lo <= prev + 5 THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY lo, hi ROWS UNBOUNDED PRECEDING) AS island FROM m)
     SELECT user_id, min(lo) AS lo, max(hi) AS hi, count(*) AS n FROM i GROUP BY user_id, island""",

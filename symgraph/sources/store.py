@@ -74,7 +74,7 @@ def to_json(tables: dict[str, DataFrame], path: str) -> None:
         df.write.mode("overwrite").json(f"{path}/{name}")
 
 
-def from_json(spark: SparkSession, path: str, schemas: dict[str, str]) -> dict[str, DataFrame]:
+def from_json(spark: SparkSession, path: str, schemas: dict[str, Any]) -> dict[str, DataFrame]:
     return {name: spark.read.schema(s).json(f"{path}/{name}") for name, s in schemas.items()}
 
 
