@@ -55,6 +55,14 @@ def release(spark: SparkSession) -> None:
         where.getFileSystem(conf).delete(where, True)
 
 
+def text_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Let Arrow batches of the session hold `rows` rows at most: whole texts are long, and workers hold a batch several times."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    have = int(spark.conf.get(name))
+    if not 0 < have <= rows:
+        spark.conf.set(name, str(rows))
+
+
 def text_or_empty(col: str = "text") -> Column:
     return F.coalesce(F.col(col).cast("string"), F.lit(""))
 

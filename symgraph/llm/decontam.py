@@ -21,9 +21,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_or_empty, written
+from .common import text_batches, text_or_empty, written
 
-Q, RATE, WINDOW, STEP, BLOCK_CHARS, PIECE = 8, 0.1, 160, 80, 4 << 20, 3 << 20
+Q, RATE, WINDOW, STEP, BLOCK_CHARS, PIECE = 8, 0.1, 160, 80, 4 << 20, 1 << 20
 _BITS, _SLOTS = 22, 18
 
 
@@ -278,6 +278,7 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = RATE) ->
     Each row is judged by its own text, so nothing is shuffled. Null texts stay; an empty benchmark keeps all.
     """
     rows = docs
+    text_batches(docs.sparkSession)
     for block in blocks(benchmark):
         rows = rows.where(_clean(passages(block, rate=rate))(text_or_empty()))
     return rows
@@ -295,6 +296,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, key: str =
     kinds = [docs.schema[key].dataType.simpleString(), benchmark.schema["item_id"].dataType.simpleString()]
     schema = f"doc_id {kinds[0]}, item_id {kinds[1]}, edits long, start long, end long"
     found = None
+    text_batches(docs.sparkSession)
     for block in blocks(benchmark):
         p = passages(block, rate=rate)
 

@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc32_of_id, text_or_empty
+from .common import crc32_of_id, text_batches, text_or_empty
 from .words import M, Words, chunks, edge, mixed, whole, words_of
 
 SLOTS, SEGMENT, PER_LANGUAGE, WINDOW, UNKNOWN = 1 << 16, 64, 300, 3000, "und"
@@ -262,6 +262,7 @@ def predict(docs: DataFrame, m: Model, *keep: Column) -> DataFrame:
     A null text or one without letters is `und` with score 0. score: the mean posterior of the language over
     the text's words. n_switches: neighbouring words whose likeliest languages differ.
     """
+    text_batches(docs.sparkSession)
     return docs.select(*keep, labelled(m)(text_or_empty()).alias("__l")).select("*", "__l.*").drop("__l")
 
 
@@ -273,6 +274,7 @@ def in_language(docs: DataFrame, least: float = 0.35) -> DataFrame:
     Null and empty texts go; repeated rows share their fate; an empty table gives no rows.
     """
     m = fit(*sample(docs, F.lit(True)))
+    text_batches(docs.sparkSession)
     rows = docs.withColumn("__l", labelled(m)(text_or_empty()))
     rows = rows.where((F.col("__l.n_words") > 0) & (F.col("__l.score") >= least))
     return rows.select(*[F.col("__l.lang_pred").alias(c) if c == "lang" else F.col(f"`{c}`") for c in docs.columns])

@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import before_in_block, blocks_for, text_or_empty, written
+from .common import before_in_block, blocks_for, text_batches, text_or_empty, written
 from .tokens import encoder
 
 WINDOW, PACKET, END = 2048, 512, 1
@@ -31,6 +31,7 @@ def tokenized(docs: DataFrame, tokenizer: str, end: int = END) -> DataFrame:
     """A written table (row, doc_id, source, n, ids): `ids` with `end` after each text, two or four bytes an id, and `wide` to tell."""
     rows = docs.select("doc_id", F.coalesce(F.col("source").cast("string"), F.lit("")).alias("source"), text_or_empty().alias("t"))
     kind = rows.schema["doc_id"].dataType.simpleString()
+    text_batches(docs.sparkSession)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         enc = encoder(tokenizer)

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, maybe_in, text_or_empty, written
+from .common import components, maybe_in, text_batches, text_or_empty, written
 
 BITS, BLOCKS, MOST_BITS, PIVOTS, LARGE, LEVELS = 64, 6, 4, 16, 8192, 4
 
@@ -58,6 +58,7 @@ def fingerprints(docs: DataFrame, words: int = 4) -> DataFrame:
     def of(texts: pd.Series) -> pd.Series:
         return pd.Series(np.array([fingerprint(t, words) for t in texts], np.uint64).view(np.int64))
 
+    text_batches(docs.sparkSession)
     return docs.select("doc_id", of(text_or_empty()).alias("fp"))
 
 

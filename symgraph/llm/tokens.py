@@ -47,7 +47,7 @@ class _Pieces(dict):
 
 
 class Encoder:
-    def __init__(self, path: str, most: int = 300_000) -> None:
+    def __init__(self, path: str, most: int = 200_000) -> None:
         self.slow = Tokenizer.from_file(path)
         self.slow.encode_special_tokens = True
         with open(path, encoding="utf-8") as f:
