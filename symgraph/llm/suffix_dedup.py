@@ -24,9 +24,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import maybe_in, text_or_empty, written
+from .common import maybe_in, text_batches, text_or_empty, written
 
-LENGTH, LARGE, PIECE, BATCH = 200, 20_000, 1 << 19, 2 << 20
+LENGTH, LARGE, PIECE, BATCH = 200, 20_000, 1 << 18, 1 << 20
 _B = 0x9E3779B97F4A7C15
 _MASK = np.uint64((1 << 20) - 1)
 _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
@@ -192,7 +192,7 @@ def cut_contexts(texts: DataFrame, length: int) -> DataFrame:
                         continue
                     seen[key] = (0, ids[i], a, b - a, 0, 0, True, None)
                     out.append((int(g[k]), ids[i], a, r0, *d, False, ctx))
-                if len(out) > 20_000:
+                if len(out) > 5_000:
                     yield _contexts(out)
                     out = []
             yield _contexts(out)
@@ -282,6 +282,7 @@ def repeated_starts(contexts: DataFrame, length: int, large: int) -> DataFrame:
 
 def verdicts(docs: DataFrame, length: int = LENGTH, large: int = LARGE) -> DataFrame:
     """(key, spans): for each text that loses bytes its MD5 and the spans to remove, as an array of (from, to)."""
+    text_batches(docs.sparkSession)
     keyed = docs.select("doc_id", text_or_empty().alias("t")).withColumn("key", F.md5("t"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
