@@ -9,10 +9,15 @@ blocks untouched, so each fingerprint goes to fifteen buckets, one for each pair
 rows of a bucket are compared, in order of their first pivot distance. A bucket that is still large is
 dealt again by another division of the bits, so no group is compared whole. A task emits the links that join two of its groups,
 not all pairs.
+
+`one_of_each` asks for a similarity instead: 0.8 or more is up to a fifth of the bits, too many for blocks of
+bits. There fingerprints are 256 bits wide, and documents meet in the buckets of their least shingle hashes: of two
+that share four shingles in five, one of eight such hashes is the same but for three cases in a million.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import partial
 from itertools import combinations
@@ -26,13 +31,19 @@ from pyspark.sql import functions as F
 from .common import components, maybe_in, text_batches, text_or_empty, written
 
 BITS, BLOCKS, MOST_BITS, PIVOTS, LARGE, LEVELS = 64, 6, 4, 16, 8192, 4
+PARTS, KEYS = 4, 8
 
 
 def fingerprint(text: str | None, words: int = 4) -> int:
     """Unsigned 64-bit SimHash over shingles of `words` words (bytes between ASCII white space, A-Z lowered)."""
+    return int.from_bytes(majority(shingle_hashes(text, words), 1).tobytes(), "big")
+
+
+def shingle_hashes(text: str | None, words: int) -> np.ndarray:
+    """XXH64 of each shingle, repeats included, as eight bytes each, greatest first."""
     found = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not found:
-        return 0
+        return np.zeros((0, 8), np.uint8)
     joined = b" ".join(found)
     ends = np.cumsum(np.fromiter(map(len, found), np.int64, len(found)) + 1) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
@@ -40,15 +51,30 @@ def fingerprint(text: str | None, words: int = 4) -> int:
         starts, ends = starts[: len(found) - words + 1], ends[words - 1 :]
     else:
         starts, ends = starts[:1], ends[-1:]
-    digest, counts, n = partial(xxhash.xxh64_digest, seed=42), np.zeros(BITS, np.int64), len(starts)
-    for at in range(0, n, 255 * 512):
-        cut = slice(at, at + 255 * 512)
-        raw = b"".join([digest(joined[a:b]) for a, b in zip(starts[cut].tolist(), ends[cut].tolist(), strict=True)])
-        bits = np.unpackbits(np.frombuffer(raw, np.uint8)).reshape(-1, BITS)
-        whole = len(bits) // 255
-        counts += bits[: whole * 255].reshape(whole, 255, BITS).sum(axis=1, dtype=np.uint8).sum(axis=0, dtype=np.int64)
-        counts += bits[whole * 255 :].sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(counts * 2 > n).tobytes(), "big")
+    digest = partial(xxhash.xxh64_digest, seed=42)
+    raw = b"".join([digest(joined[a:b]) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)])
+    return np.frombuffer(raw, np.uint8).reshape(-1, 8)
+
+
+def majority(hashes: np.ndarray, parts: int) -> np.ndarray:
+    """`parts` times 64 bits, each 1 if set in over half the hashes; parts after the first are of mixed hashes."""
+    out, n = [], len(hashes)
+    for i in range(parts):
+        counts = np.zeros(BITS, np.int64)
+        for at in range(0, n, 255 * 512):
+            some = hashes[at : at + 255 * 512]
+            if i:
+                h = some.view(">u8").ravel().astype(np.uint64) ^ np.uint64(0x9E3779B97F4A7C15 * i & (1 << 64) - 1)
+                h *= np.uint64(0xC2B2AE3D27D4EB4F)
+                h ^= h >> np.uint64(31)
+                h *= np.uint64(0x165667B19E3779F9)
+                some = (h ^ (h >> np.uint64(32))).view(np.uint8).reshape(-1, 8)
+            bits = np.unpackbits(some).reshape(-1, BITS)
+            whole = len(bits) // 255
+            counts += bits[: whole * 255].reshape(whole, 255, BITS).sum(axis=1, dtype=np.uint8).sum(axis=0, dtype=np.int64)
+            counts += bits[whole * 255 :].sum(axis=0, dtype=np.int64)
+        out.append(np.packbits(counts * 2 > n) if n else np.zeros(8, np.uint8))
+    return np.concatenate(out)
 
 
 def fingerprints(docs: DataFrame, words: int = 4) -> DataFrame:
@@ -96,10 +122,12 @@ def dealt(rows: DataFrame, level: int) -> DataFrame:
 
 def links_within(pdf: pd.DataFrame, most_bits: int) -> tuple[np.ndarray, np.ndarray]:
     """Links between different groups of one sorted run of whole buckets, enough to join what is linked."""
-    key, fp = pdf["key"].to_numpy(), pdf["fp"].to_numpy().view(np.uint64)
+    key, names = pdf["key"].to_numpy(), sorted(c for c in pdf.columns if c[0] == "f")
+    fp = np.stack([pdf[c].to_numpy() for c in names], axis=1).view(np.uint64)
+    node = pdf["node" if "node" in pdf.columns else "fp"].to_numpy()
     table = np.stack([pdf[c].to_numpy() for c in sorted(x for x in pdf.columns if x[0] == "p")], axis=1).astype("<i8").view(np.uint8).astype(np.int16)
-    order = np.lexsort((fp, table[:, 0], key))
-    key, fp, table = key[order], fp[order], table[order]
+    order = np.lexsort((node, table[:, 0], key))
+    key, fp, table, node = key[order], fp[order], table[order], node[order]
     group, out_a, out_b = np.arange(len(fp)), [], []
     at, lag = np.arange(len(fp) - 1), 1
     while len(at):
@@ -107,7 +135,7 @@ def links_within(pdf: pd.DataFrame, most_bits: int) -> tuple[np.ndarray, np.ndar
         at = at[(key[at] == key[at + lag]) & (table[at + lag, 0] - table[at, 0] <= most_bits)]
         near = at[group[at] != group[at + lag]]
         near = near[np.abs(table[near] - table[near + lag]).max(axis=1, initial=0) <= most_bits]
-        near = near[np.bitwise_count(fp[near] ^ fp[near + lag]) <= most_bits]
+        near = near[np.bitwise_count(fp[near] ^ fp[near + lag]).sum(axis=1, dtype=np.int64) <= most_bits]
         if len(near):
             parent: dict[int, int] = {}
 
@@ -127,7 +155,7 @@ def links_within(pdf: pd.DataFrame, most_bits: int) -> tuple[np.ndarray, np.ndar
                 to[list(parent)] = [root(x) for x in parent]
                 group = to[group]
         lag += 1
-    return fp[out_a].view(np.int64), fp[out_b].view(np.int64)
+    return node[out_a], node[out_b]
 
 
 def compared(rows: DataFrame, most_bits: int) -> DataFrame:
@@ -199,14 +227,76 @@ def near_groups(docs: DataFrame, words: int = 4, most_bits: int = MOST_BITS) ->
     return marked.join(labels, "fp", "left").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def one_of_each(docs: DataFrame, words: int = 5, most_bits: int = MOST_BITS) -> DataFrame:
+def sketches(docs: DataFrame, words: int) -> DataFrame:
+    """(doc_id, f0 .. f3, keys): 256 bits of fingerprint, and the least eight different shingle hashes."""
+
+    @F.pandas_udf("f0 long, f1 long, f2 long, f3 long, keys array<long>")
+    def of(texts: pd.Series) -> pd.DataFrame:
+        wide, keys = [], []
+        for t in texts:
+            h = shingle_hashes(t, words)
+            wide.append(majority(h, PARTS).view(">i8").astype(np.int64))
+            keys.append(np.unique(h.view(">u8").astype(np.uint64).ravel())[:KEYS].view(np.int64))
+        out = pd.DataFrame(np.stack(wide) if wide else np.zeros((0, PARTS), np.int64), columns=[f"f{i}" for i in range(PARTS)])
+        return out.assign(keys=keys)
+
+    text_batches(docs.sparkSession)
+    return docs.select("doc_id", of(text_or_empty()).alias("s")).select("doc_id", "s.*")
+
+
+def bits_for(similarity: float) -> int:
+    """Most differing bits of 256 for shingle sets of a similarity, with one standard deviation more for chance."""
+    share = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    n = BITS * PARTS
+    return int(n * share + math.sqrt(n * share * (1 - share)))
+
+
+def similar_links(fps: DataFrame, most_bits: int, pivots: int = PIVOTS, large: int = LARGE) -> DataFrame:
+    """Links (a, b) between the `node`s of `fps` (node, f0 .. f3, keys) that share a key and differ in `most_bits` at most.
+
+    A key with very many nodes is dealt again by pairs, then triples, of a node's keys.
+    """
+    parts = [f"f{i}" for i in range(PARTS)]
+    chosen = fps.select(*parts).orderBy(F.xxhash64(*parts), *parts).limit(pivots).collect()
+    table = []
+    for i in range(0, max(pivots, 8), 8):
+        packed = F.lit(0).cast("long")
+        for j, r in enumerate(chosen[i : i + 8]):
+            far = sum((F.bit_count(F.col(c).bitwiseXOR(F.lit(r[c]).cast("long"))) for c in parts), F.lit(0))
+            packed = packed + F.shiftleft(F.least(far, F.lit(255)).cast("long"), 8 * j)
+        table.append(packed.alias(f"p{i // 8}"))
+    rows = fps.select("node", *parts, "keys", *table, F.array().cast("array<long>").alias("path"))
+    found = None
+    for level in range(3):
+        rows = rows.withColumn("more", F.explode(F.array_except("keys", "path")))
+        rows = rows.withColumn("path", F.array_sort(F.array_append("path", F.col("more")))).drop("more").withColumn("key", F.xxhash64("path"))
+        if level < 2:
+            hot = written(rows.groupBy("key").count().where(F.col("count") > large).select("key"), "hot")
+            cool = rows.join(hot, "key", "left_anti")
+        else:
+            hot, cool = None, rows
+        some = compared(cool.drop("keys", "path"), most_bits)
+        found = some if found is None else found.unionByName(some)
+        if hot is None or hot.isEmpty():
+            break
+        rows = rows.join(hot, "key", "left_semi").drop("key")
+    return found.where("a <> b").distinct()
+
+
+def one_of_each(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
     """`docs` (doc_id, text, any other columns) with one document of each group of near copies: the least doc_id.
 
-    Rows without a doc_id stay, since they can't be told apart; so do all rows that repeat a doc_id that stays.
+    Near copies have shingle sets of `similarity` or more, as their wide fingerprints tell; groups are what such
+    links connect, and equal fingerprints, those of all wordless texts among them. Rows without a doc_id stay, since they
+    can't be told apart; so do all rows that repeat a doc_id that stays. An empty table gives no rows.
     Only documents that go are joined to the texts, by way of a bitmap of bounded size.
     """
-    gone = near_groups(docs, words, most_bits).where("doc_id is not null and doc_id <> component_id").select(F.col("doc_id").alias("__gone"))
-    gone = written(gone.distinct(), "gone")
+    parts = [f"f{i}" for i in range(PARTS)]
+    marked = written(sketches(docs.where("doc_id is not null"), words), "sketches")
+    fps = written(marked.groupBy(*parts).agg(F.min("doc_id").alias("node"), F.min("keys").alias("keys")), "wide")
+    joined = components(similar_links(fps, bits_for(similarity))).where("node <> root").select("node")
+    same = marked.join(fps.select(*parts, "node").hint("merge"), parts).where("doc_id <> node").select("doc_id")
+    gone = written(same.unionByName(joined.select(F.col("node").alias("doc_id"))).select(F.col("doc_id").alias("__gone")).distinct(), "gone")
     marked = maybe_in(docs, gone.select(F.xxhash64("__gone").alias("k")), F.xxhash64("doc_id"), "__maybe")
     some = marked.where("__maybe").join(gone.hint("merge"), F.col("doc_id") == F.col("__gone"), "left_anti")
     return marked.where("not __maybe").unionByName(some).drop("__maybe")

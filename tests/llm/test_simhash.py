@@ -90,3 +90,40 @@ def test_links_join_all_near_fingerprints_though_buckets_are_dealt_again(spark):
 
 def test_empty(spark):
     assert S.near_groups(spark.createDataFrame([], SCHEMA)).where(F.lit(True)).collect() == []
+
+
+def jaccard(a, b, words=5):
+    x, y = ({tuple(w[k : k + words]) for k in range(max(1, len(w) - words + 1))} for w in (a.lower().split(), b.lower().split()))
+    return len(x & y) / len(x | y)
+
+
+def test_one_of_each_group_of_similar_texts_stays(spark):
+    """All pairs well over the similarity are found, and texts well under it stay, also where buckets are dealt again."""
+    rng = random.Random(9)
+    words = [f"w{i}" for i in range(4000)]
+    texts, near = [], set()
+    for g in range(40):
+        base = [rng.choice(words) for _ in range(rng.randint(80, 400))]
+        texts.append(" ".join(base))
+        for _ in range(3):
+            w = list(base)
+            for _ in range(rng.choice([1, 1, len(w) // 100, len(w) // 12])):
+                w[rng.randrange(len(w))] = rng.choice(words)
+            texts.append(" ".join(w))
+    rows = [(i, t, "clash") for i, t in enumerate(texts)]
+    for i in range(len(texts)):
+        for j in range(i):
+            if i // 4 == j // 4 and jaccard(texts[i], texts[j]) >= 0.87:
+                near.add(i)
+    far = {i for i in range(len(texts)) if all(jaccard(texts[i], texts[j]) < 0.6 for j in range(i // 4 * 4, i))}
+    extra = [(500, None, None), (501, "", None), (502, " ", None), (None, texts[0], None), (3, texts[3], "x")]
+    df = spark.createDataFrame(rows + extra, SCHEMA)
+    out = S.one_of_each(df)
+    assert out.columns == df.columns
+    kept = [r.doc_id for r in out.collect()]
+    assert not near & set(kept) and far <= set(kept) and len(near) > 40 and len(far) > 45
+    assert None in kept and 500 in kept and 501 not in kept and 502 not in kept
+    fps = S.sketches(df.where("doc_id < 500"), 5).groupBy("f0", "f1", "f2", "f3").agg(F.min("doc_id").alias("node"), F.min("keys").alias("keys"))
+    joined = [{frozenset((r.a, r.b)) for r in S.components(S.similar_links(fps, S.bits_for(0.8), large=n)).select(F.col("node").alias("a"), F.col("root").alias("b")).collect()} for n in (8192, 2)]
+    assert joined[0] == joined[1]
+    assert S.one_of_each(df.limit(0)).collect() == []
