@@ -472,17 +472,14 @@ def module_view(spark, d):
 
 
 @query(
-    f"""WITH up AS (SELECT 'c:' || c_custkey AS id, 'n:' || c_nationkey AS root FROM customer UNION ALL SELECT 's:' || s_suppkey, 'n:' || s_nationkey FROM supplier
-        UNION ALL SELECT 'o:' || o_orderkey, 'n:' || c_nationkey FROM orders JOIN customer ON c_custkey = o_custkey),
-    t AS (SELECT DISTINCT e.src, f.dst FROM sg_edges e JOIN sg_edges f ON e.dst = f.src WHERE e.kind = 'call' AND f.kind = 'import')
-    SELECT DISTINCT a.root AS from_service, b.root AS to_service FROM t JOIN up a ON a.id = t.src JOIN up b ON b.id = t.dst WHERE a.root <> b.root"""
+    """SELECT DISTINCT 'b:' || p_brand AS from_service, 'n:' || s_nationkey AS to_service FROM lineitem JOIN part ON p_partkey = l_partkey JOIN supplier ON s_suppkey = l_suppkey""",
+    star_graph=False,
 )
 def service_view(spark, d):
-    edges = star.edges(spark, d)
-    call, imp = edges.where("kind = 'call'").select("src", F.col("dst").alias("via")).distinct(), edges.where("kind = 'import'").select(F.col("src").alias("via"), "dst").distinct()
-    through = call.join(imp, "via").select("src", "dst").distinct().withColumn("kind", F.lit("call")).withColumn("method", F.lit(None).cast("string"))
-    whole = edges.where(F.col("kind").isin(G.STRUCTURE_KINDS)).unionByName(through)
-    return W.service(whole, star.nodes(spark, d).where("kind = 'file'"))
+    brand = F.concat(F.lit("b:"), F.col("p_brand"))
+    owned = star.table(spark, d, "part").select(brand.alias("src"), F.concat(F.lit("p:"), F.col("p_partkey").cast("string")).alias("dst"), F.lit("owns").alias("kind"), F.lit(None).cast("string").alias("method"))
+    roots = owned.select(F.col("src").alias("id")).distinct().unionByName(star.nodes(spark, d).where("kind = 'file'").select("id"))
+    return W.service(star.edges(spark, d).where("kind <> 'call'").unionByName(owned), roots)
 
 
 @query("SELECT DISTINCT 'api:' || upper(event_type) || ':' || json_extract_string(props, '$.k') AS endpoint, 'u:' || user_id AS handler FROM events", star_graph=False)
