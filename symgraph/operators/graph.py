@@ -100,6 +100,17 @@ def unresolved_by_symbol(references: DataFrame, targets: DataFrame, key: str) ->
     return references.join(targets.select(key).distinct(), key, "left_anti").groupBy("src").agg(F.count("*").alias("n"))
 
 
+def unresolved_references(unresolved: DataFrame, most: int = 5, width: int = 40) -> DataFrame:
+    """(id, n, names): for each symbol how many of its references are unbound, and the first few of their names.
+
+    Names are distinct, in order, and cut to `width` characters.
+    """
+    name = F.when(F.length("raw_name") > width, F.concat(F.substring("raw_name", 1, width - 1), F.lit("…"))).otherwise(F.col("raw_name"))
+    shown = unresolved.select(F.col("from_symbol_id").alias("id"), name.alias("name"))
+    names = F.array_sort(F.collect_set("name"))
+    return shown.groupBy("id").agg(F.count("*").alias("n"), F.slice(names, 1, most).alias("names"))
+
+
 def reverse_map(edges: DataFrame, kinds: list[str]) -> DataFrame:
     """(dst, n, sources): for each target its distinct sources in order."""
     return edges.where(F.col("kind").isin(kinds)).groupBy("dst").agg(F.count("*").alias("n"), F.array_sort(F.collect_set("src")).alias("sources"))

@@ -232,6 +232,10 @@ def answer(project: Project, plan: QueryPlan) -> Answer:
         for r in V.blast_radius(project.nodes, project.edges, known).orderBy("id").collect():
             parts.append(f"- `{r.id}` is referred to {r.n_refs} times from {r.n_files} files" + (f": {r.files}" if r.files else ""))
     parts.append(serialized(plan, anchors, nodes, edges, notes, levels))
+    if project.unresolved is not None:
+        mine = project.unresolved.where(F.col("from_symbol_id").isin(anchors))
+        for r in G.unresolved_references(mine).orderBy("id").collect():
+            parts.append(f"- `{r.id}` has {r.n} unbound references: {', '.join(r.names)}")
     if missing:
         parts.append(f"Not matched: {', '.join(missing)}.")
     text = "\n".join(parts)

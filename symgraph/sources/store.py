@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from datetime import datetime, timezone
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
@@ -39,7 +40,7 @@ class Store:
         n = (have[-1] if have else 0) + 1
         for name, df in tables.items():
             df.write.mode("overwrite").parquet(f"{self.root}/v={n}/{name}")
-        told = {"schema_version": self.schema_version, "pipeline_version": PIPELINE_VERSION, "tables": sorted(tables)} | (meta or {})
+        told = {"schema_version": self.schema_version, "pipeline_version": PIPELINE_VERSION, "built_at": datetime.now(timezone.utc).isoformat(), "tables": sorted(tables)} | (meta or {})
         rows = [(k, json.dumps(v)) for k, v in told.items()]
         self.spark.createDataFrame(rows, "key string, value string").coalesce(1).write.mode("overwrite").parquet(f"{self.root}/v={n}/meta")
         self._fs.create(self._path(f"{self.root}/pointer-{n}")).close()
@@ -54,6 +55,13 @@ class Store:
             raise MissingIndex(f"no stored model in {self.root}; build one first")
         return {r.key: json.loads(r.value) for r in self.spark.read.parquet(f"{self.root}/v={have[-1]}/meta").collect()} | {"version": have[-1]}
 
+    def built_at(self) -> str:
+        return self.meta()["built_at"]
+
+    def changed(self, version: int) -> bool:
+        """Whether there is a newer version than the one in use; loading again then gives its tables."""
+        return self.versions()[-1:] != [version]
+
     def load(self) -> dict[str, DataFrame]:
         """The newest version's tables; none if it has another schema version, which means building anew."""
         meta = self.meta()

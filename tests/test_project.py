@@ -102,6 +102,7 @@ def test_answers(built):
     r = answer(project, P.explore_region("main.py::run", depth=1))
     assert r.status == "ok" and "at line 9: `service.save(user)`" in r.text and "6\tdef run():" in r.text
     assert "Keeps a user." in answer(project, P.explore_region("save")).text
+    assert "unbound references: missing_thing.go" in answer(project, P.explore_region("delete_user")).text
     assert answer(project, P.explore_region("UserService", auto_pick=False)).status == "ambiguous"
     assert answer(project, P.explore_region("zzzqqq")).status == "not_found"
     assert answer(project, P.QueryPlan("path", ("a",), direction="up", depth=0)).errors == ["a path needs two anchors", "direction is one of incoming, outgoing, both, not 'up'", "depth is a number from 1, not 0"]
@@ -135,6 +136,7 @@ def test_store(built, spark, tmp_path):
         store.load()
     tables = {"symbols": model.symbols, "resolved": model.resolved}
     assert [store.save(tables), store.save(tables), store.save(tables)] == [1, 2, 3] and store.versions() == [2, 3]
+    assert store.built_at() and store.changed(2) and not store.changed(3)
     back = store.load()["symbols"]
     assert sorted(map(str, back.collect())) == sorted(map(str, model.symbols.collect()))
     assert Store(spark, f"{tmp_path}/s", schema_version=5).load() == {}
