@@ -495,6 +495,14 @@ def data_view(spark, d):
     return W.data(calls, models.select("id"), star.nodes(spark, d).where(F.col("id").startswith("c:")).select("id"))
 
 
+@query("SELECT DISTINCT 'c:' || o_custkey AS user, 'p:' || l_partkey AS model FROM lineitem JOIN orders ON o_orderkey = l_orderkey")
+def data_view_all(spark, d):
+    """As data_view, with every part as a model."""
+    models = star.nodes(spark, d).where("kind = 'function'")
+    calls = star.edges(spark, d).where("kind <> 'import'")
+    return W.data(calls, models.select("id"), star.nodes(spark, d).where(F.col("id").startswith("c:")).select("id"))
+
+
 @query(
     """WITH e AS (SELECT DISTINCT src, dst FROM sg_edges WHERE kind IN ('call', 'import')),
     a AS (SELECT 'c:1' AS id UNION ALL SELECT dst FROM sg_edges WHERE src = 'c:1' AND kind = 'has_member'),

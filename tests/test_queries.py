@@ -34,3 +34,12 @@ def test_the_entry_works_without_the_corpus_operators(tmp_path):
     code = "import __spark_entry__ as e; q = e.queries(); assert 'impact_cone' in q and not [n for n in q if n.startswith('op') or n == 'pipeline']; assert set(e.oracle_sql()) <= set(q)"
     env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, check=True, timeout=120)
+
+
+def test_data_view_all_has_every_model(spark):
+    lines = spark.read.parquet(f"{DIR}/lineitem.parquet").select("l_orderkey", "l_partkey").collect()
+    owner = {r.o_orderkey: r.o_custkey for r in spark.read.parquet(f"{DIR}/orders.parquet").select("o_orderkey", "o_custkey").collect()}
+    got = [(r.user, r.model) for r in Q.QUERIES["data_view_all"](spark, DIR).collect()]
+    assert len(got) == len(set(got))
+    assert set(got) == {(f"c:{owner[r.l_orderkey]}", f"p:{r.l_partkey}") for r in lines}
+    assert {m for _, m in got} == {f"p:{r.l_partkey}" for r in lines}
