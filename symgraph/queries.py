@@ -143,6 +143,12 @@ def reverse_index(spark, d):
     return S.incoming_index(star.edges(spark, d).where("kind = 'owns'")).select("id", "kind", F.array_join("sources", ",").alias("sources"))
 
 
+@query("SELECT dst AS id, kind, string_agg(DISTINCT src, ',' ORDER BY src) AS sources FROM sg_edges GROUP BY dst, kind")
+def reverse_index_all(spark, d):
+    """As reverse_index, over edges of every kind."""
+    return S.incoming_index(star.edges(spark, d)).select("id", "kind", F.array_join("sources", ",").alias("sources"))
+
+
 # --- traversal
 
 

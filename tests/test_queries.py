@@ -6,6 +6,7 @@ import sys
 import pytest
 
 from symgraph import queries as Q
+from symgraph import star
 from tests.oracle import DIR, compare, connected
 
 #: Queries that may find nothing in the smallest tables.
@@ -43,3 +44,12 @@ def test_data_view_all_has_every_model(spark):
     assert len(got) == len(set(got))
     assert set(got) == {(f"c:{owner[r.l_orderkey]}", f"p:{r.l_partkey}") for r in lines}
     assert {m for _, m in got} == {f"p:{r.l_partkey}" for r in lines}
+
+
+def test_reverse_index_all_has_every_kind(spark):
+    want = {}
+    for r in star.edges(spark, DIR).collect():
+        want.setdefault((r.dst, r.kind), set()).add(r.src)
+    got = {(r.id, r.kind): r.sources for r in Q.QUERIES["reverse_index_all"](spark, DIR).collect()}
+    assert got == {k: ",".join(sorted(v)) for k, v in want.items()}
+    assert {k for _, k in got} == {"owns", "has_member", "call", "import"}
