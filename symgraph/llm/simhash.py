@@ -12,13 +12,14 @@ not all pairs.
 
 `one_of_each` asks for a similarity instead: 0.8 or more is up to a fifth of the bits, too many for blocks of
 bits. There fingerprints are 256 bits wide, and documents meet in the buckets of their least shingle hashes: of two
-that share four shingles in five, one of eight such hashes is the same but for three cases in a million.
+that share four shingles in five, one of eight such hashes is the same but for three cases in a million. Sizes of the
+shingle sets and a loose bound of bits only pick the documents whose shingles are compared; the similarity decides.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import partial
 from itertools import combinations
 
@@ -31,7 +32,7 @@ from pyspark.sql import functions as F
 from .common import components, maybe_in, text_batches, text_or_empty, written
 
 BITS, BLOCKS, MOST_BITS, PIVOTS, LARGE, LEVELS = 64, 6, 4, 16, 8192, 4
-PARTS, KEYS = 4, 8
+PARTS, KEYS, SPARE = 4, 8, 6
 
 
 def fingerprint(text: str | None, words: int = 4) -> int:
@@ -159,22 +160,28 @@ def links_within(pdf: pd.DataFrame, most_bits: int) -> tuple[np.ndarray, np.ndar
 
 
 def compared(rows: DataFrame, most_bits: int) -> DataFrame:
-    """Links (a, b) among the rows of each bucket; memory holds one bucket and a batch."""
+    """Links (a, b) among the rows of each bucket."""
+
+    def done(pdf: pd.DataFrame) -> pd.DataFrame:
+        a, b = links_within(pdf, most_bits)
+        return pd.DataFrame({"a": a, "b": b})
+
+    return in_runs(rows, done, "a long, b long")
+
+
+def in_runs(rows: DataFrame, done: Callable[[pd.DataFrame], pd.DataFrame], schema: str, least: int = 50_000) -> DataFrame:
+    """What `done` makes of runs of whole buckets; memory holds `least` rows, or one bucket, and a batch."""
 
     def runs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[pd.DataFrame] = []
         size = 0
 
-        def done(pdf: pd.DataFrame) -> pd.DataFrame:
-            a, b = links_within(pdf, most_bits)
-            return pd.DataFrame({"a": a, "b": b})
-
         for pdf in batches:
             if not len(pdf):
                 continue
             held.append(pdf)
             size += len(pdf)
-            if size >= 50_000 and pdf["key"].iloc[0] != pdf["key"].iloc[-1]:
+            if size >= least and pdf["key"].iloc[0] != pdf["key"].iloc[-1]:
                 whole = pd.concat(held, ignore_index=True)
                 last = int(np.searchsorted(whole["key"].to_numpy(), whole["key"].iloc[-1]))
                 yield done(whole.iloc[:last])
@@ -183,7 +190,7 @@ def compared(rows: DataFrame, most_bits: int) -> DataFrame:
         if held:
             yield done(pd.concat(held, ignore_index=True))
 
-    return rows.repartition("key").sortWithinPartitions("key").mapInPandas(runs, "a long, b long")
+    return rows.repartition("key").sortWithinPartitions("key").mapInPandas(runs, schema)
 
 
 def links(fps: DataFrame, most_bits: int = MOST_BITS, pivots: int = PIVOTS, large: int = LARGE) -> DataFrame:
@@ -227,28 +234,36 @@ def near_groups(docs: DataFrame, words: int = 4, most_bits: int = MOST_BITS) ->
     return marked.join(labels, "fp", "left").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def shingle_set(text: str | None, words: int) -> np.ndarray:
+    """The different shingle hashes, least first."""
+    return np.unique(shingle_hashes(text, words).view(">u8").astype(np.uint64).ravel())
+
+
 def sketches(docs: DataFrame, words: int) -> DataFrame:
-    """(doc_id, f0 .. f3, keys): 256 bits of fingerprint, and the least eight different shingle hashes."""
+    """(doc_id, f0 .. f3, keys, n, whole): 256 bits of fingerprint of the set of shingles, the least eight of
+    their hashes, how many shingles there are, and a hash of all of them."""
 
-    @F.pandas_udf("f0 long, f1 long, f2 long, f3 long, keys array<long>")
+    @F.pandas_udf("f0 long, f1 long, f2 long, f3 long, keys array<long>, n int, whole long")
     def of(texts: pd.Series) -> pd.DataFrame:
-        wide, keys = [], []
+        wide, keys, n, whole = [], [], [], []
         for t in texts:
-            h = shingle_hashes(t, words)
-            wide.append(majority(h, PARTS).view(">i8").astype(np.int64))
-            keys.append(np.unique(h.view(">u8").astype(np.uint64).ravel())[:KEYS].view(np.int64))
+            h = shingle_set(t, words)
+            wide.append(majority(h.astype(">u8").view(np.uint8).reshape(-1, 8), PARTS).view(">i8").astype(np.int64))
+            keys.append(h[:KEYS].view(np.int64))
+            n.append(len(h))
+            whole.append(signed(xxhash.xxh64_intdigest(h.tobytes())))
         out = pd.DataFrame(np.stack(wide) if wide else np.zeros((0, PARTS), np.int64), columns=[f"f{i}" for i in range(PARTS)])
-        return out.assign(keys=keys)
+        return out.assign(keys=keys, n=np.array(n, np.int32), whole=np.array(whole, np.int64))
 
     text_batches(docs.sparkSession)
     return docs.select("doc_id", of(text_or_empty()).alias("s")).select("doc_id", "s.*")
 
 
-def bits_for(similarity: float) -> int:
-    """Most differing bits of 256 for shingle sets of a similarity, with one standard deviation more for chance."""
+def bits_for(similarity: float, deviations: int = 1) -> int:
+    """Most differing bits of 256 for shingle sets of a similarity, with some standard deviations more for chance."""
     share = math.acos(2 * similarity / (1 + similarity)) / math.pi
     n = BITS * PARTS
-    return int(n * share + math.sqrt(n * share * (1 - share)))
+    return int(n * share + deviations * math.sqrt(n * share * (1 - share)))
 
 
 def similar_links(fps: DataFrame, most_bits: int, pivots: int = PIVOTS, large: int = LARGE) -> DataFrame:
@@ -265,8 +280,16 @@ def similar_links(fps: DataFrame, most_bits: int, pivots: int = PIVOTS, large: i
             far = sum((F.bit_count(F.col(c).bitwiseXOR(F.lit(r[c]).cast("long"))) for c in parts), F.lit(0))
             packed = packed + F.shiftleft(F.least(far, F.lit(255)).cast("long"), 8 * j)
         table.append(packed.alias(f"p{i // 8}"))
-    rows = fps.select("node", *parts, "keys", *table, F.array().cast("array<long>").alias("path"))
-    found = None
+    return compared(in_buckets(fps.select("node", *parts, "keys", *table), large), most_bits).where("a <> b").distinct()
+
+
+def in_buckets(fps: DataFrame, large: int = LARGE) -> DataFrame:
+    """Each row of `fps` (keys, other columns) once for each bucket that it is in, as `key` in place of `keys`.
+
+    Rows with fewer keys than a bucket takes have all their shingles among them: only an equal set is similar to one of two.
+    """
+    own = [c for c in fps.columns if c != "keys"]
+    rows, found = fps.withColumn("path", F.array().cast("array<long>")), None
     for level in range(3):
         rows = rows.withColumn("more", F.explode(F.array_except("keys", "path")))
         rows = rows.withColumn("path", F.array_sort(F.array_append("path", F.col("more")))).drop("more").withColumn("key", F.xxhash64("path"))
@@ -275,26 +298,106 @@ def similar_links(fps: DataFrame, most_bits: int, pivots: int = PIVOTS, large: i
             cool = rows.join(hot, "key", "left_anti")
         else:
             hot, cool = None, rows
-        some = compared(cool.drop("keys", "path"), most_bits)
+        some = cool.select(*own, "key")
         found = some if found is None else found.unionByName(some)
         if hot is None or hot.isEmpty():
             break
         rows = rows.join(hot, "key", "left_semi").drop("key")
-    return found.where("a <> b").distinct()
+    return found
+
+
+def pairs_of_size(key: np.ndarray, n: np.ndarray, similarity: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rows of a bucket, in order of (key, n), whose sizes allow the similarity."""
+    at, lag = np.arange(len(n) - 1), 1
+    while len(at):
+        at = at[at + lag < len(n)]
+        at = at[(key[at] == key[at + lag]) & (n[at] >= similarity * n[at + lag] - 1e-6)]
+        yield at, at + lag
+        lag += 1
+
+
+def ordered(pdf: pd.DataFrame) -> tuple[pd.DataFrame, np.ndarray]:
+    """Rows in order of (key, n), and their fingerprints."""
+    pdf = pdf.sort_values(["key", "n", "node"], ignore_index=True)
+    return pdf, np.stack([pdf[f"f{i}"].to_numpy() for i in range(PARTS)], axis=1).view(np.uint64)
+
+
+def maybe_similar(pdf: pd.DataFrame, most_bits: int, similarity: float) -> pd.DataFrame:
+    """The rows that may be similar to another of their bucket, by size and bits."""
+    pdf, fp = ordered(pdf)
+    met = np.zeros(len(pdf), bool)
+    for a, b in pairs_of_size(pdf["key"].to_numpy(), pdf["n"].to_numpy(), similarity):
+        new = ~(met[a] & met[b])
+        a, b = a[new], b[new]
+        near = np.bitwise_count(fp[a] ^ fp[b]).sum(axis=1, dtype=np.int64) <= most_bits
+        met[a[near]] = met[b[near]] = True
+    return pdf[met]
+
+
+def similar_within(pdf: pd.DataFrame, most_bits: int, similarity: float) -> pd.DataFrame:
+    """Links (a, b) that join what is similar in each bucket, by the shingles `h` themselves."""
+    pdf, fp = ordered(pdf)
+    n, node, sets = pdf["n"].to_numpy(), pdf["node"].to_numpy(), [np.asarray(h) for h in pdf["h"]]
+    parent, group, out = list(range(len(pdf))), np.arange(len(pdf)), []
+
+    def root(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = x = parent[parent[x]]
+        return x
+
+    for a, b in pairs_of_size(pdf["key"].to_numpy(), n, similarity):
+        apart = group[a] != group[b]
+        a, b = a[apart], b[apart]
+        near = np.bitwise_count(fp[a] ^ fp[b]).sum(axis=1, dtype=np.int64) <= most_bits
+        before = len(out)
+        for i, j in zip(a[near].tolist(), b[near].tolist(), strict=True):
+            x, y = root(i), root(j)
+            if x != y:
+                both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+                if both >= similarity * (n[i] + n[j] - both) - 1e-6:
+                    parent[max(x, y)] = min(x, y)
+                    out.append((node[i], node[j]))
+        if len(out) > before:
+            group = np.array([root(x) for x in range(len(pdf))])
+    return pd.DataFrame(out, columns=["a", "b"], dtype=np.int64)
+
+
+def verified_links(docs: DataFrame, fps: DataFrame, words: int, similarity: float, large: int = LARGE) -> DataFrame:
+    """Links (a, b) that join the `node`s of `fps` (node, f0 .. f3, keys, n, whole) whose shingle sets are as similar or more.
+
+    Shingles are made again from the texts of `docs` (doc_id, text), only where size and bits leave a pair possible.
+    """
+    parts, most_bits = [f"f{i}" for i in range(PARTS)], bits_for(similarity, SPARE)
+    rows = in_buckets(fps.select("node", *parts, "n", "whole", "keys"), large)
+    kinds = "node long, f0 long, f1 long, f2 long, f3 long, n int, whole long, key long"
+    some = written(in_runs(rows.select("node", *parts, "n", "whole", "key"), lambda pdf: maybe_similar(pdf, most_bits, similarity), kinds), "maybe")
+    wanted = some.select("node", "whole").distinct()
+
+    @F.pandas_udf("h array<long>, own long")
+    def of(texts: pd.Series) -> pd.DataFrame:
+        sets = [shingle_set(t, words) for t in texts]
+        return pd.DataFrame({"h": [h.view(np.int64) for h in sets], "own": np.array([signed(xxhash.xxh64_intdigest(h.tobytes())) for h in sets], np.int64)})
+
+    texts = maybe_in(docs.select("doc_id", text_or_empty().alias("t")), wanted.select(F.xxhash64("node").alias("k")), F.xxhash64("doc_id"), "__maybe").where("__maybe")
+    texts = texts.join(wanted.select(F.col("node").alias("doc_id")).distinct().hint("merge"), "doc_id", "left_semi")
+    made = texts.select("doc_id", of("t").alias("s")).select(F.col("doc_id").alias("node"), F.col("s.own").alias("whole"), "s.h")
+    sets = written(made.dropDuplicates(["node", "whole"]), "sets")
+    return in_runs(some.join(sets.hint("merge"), ["node", "whole"]), lambda pdf: similar_within(pdf, most_bits, similarity), "a long, b long", 1000).where("a <> b").distinct()
 
 
 def one_of_each(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
     """`docs` (doc_id, text, any other columns) with one document of each group of near copies: the least doc_id.
 
-    Near copies have shingle sets of `similarity` or more, as their wide fingerprints tell; groups are what such
-    links connect, and equal fingerprints, those of all wordless texts among them. Rows without a doc_id stay, since they
+    Near copies have shingle sets of `similarity` (Jaccard) or more, verified by the sets; groups are what such
+    links connect, and equal sets, those of all wordless texts among them. Rows without a doc_id stay, since they
     can't be told apart; so do all rows that repeat a doc_id that stays. An empty table gives no rows.
     Only documents that go are joined to the texts, by way of a bitmap of bounded size.
     """
-    parts = [f"f{i}" for i in range(PARTS)]
-    marked = written(sketches(docs.where("doc_id is not null"), words), "sketches")
+    parts = [*(f"f{i}" for i in range(PARTS)), "n", "whole"]
+    known = docs.where("doc_id is not null")
+    marked = written(sketches(known, words), "sketches")
     fps = written(marked.groupBy(*parts).agg(F.min("doc_id").alias("node"), F.min("keys").alias("keys")), "wide")
-    joined = components(similar_links(fps, bits_for(similarity))).where("node <> root").select("node")
+    joined = components(verified_links(known, fps, words, similarity)).where("node <> root").select("node")
     same = marked.join(fps.select(*parts, "node").hint("merge"), parts).where("doc_id <> node").select("doc_id")
     gone = written(same.unionByName(joined.select(F.col("node").alias("doc_id"))).select(F.col("doc_id").alias("__gone")).distinct(), "gone")
     marked = maybe_in(docs, gone.select(F.xxhash64("__gone").alias("k")), F.xxhash64("doc_id"), "__maybe")

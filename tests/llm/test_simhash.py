@@ -127,3 +127,22 @@ def test_one_of_each_group_of_similar_texts_stays(spark):
     joined = [{frozenset((r.a, r.b)) for r in S.components(S.similar_links(fps, S.bits_for(0.8), large=n)).select(F.col("node").alias("a"), F.col("root").alias("b")).collect()} for n in (8192, 2)]
     assert joined[0] == joined[1]
     assert S.one_of_each(df.limit(0)).collect() == []
+
+
+def test_similarity_decides_at_the_edge(spark):
+    """Pairs just at and just under the similarity, by brute force; one document has a passage many times."""
+    rng = random.Random(31)
+    words = [f"w{i}" for i in range(9000)]
+    texts = []
+    for g in range(150):
+        base = [rng.choice(words) for _ in range(rng.choice([9, 30, 100, 300]))]
+        other = list(base)
+        while jaccard(" ".join(base), " ".join(other)) >= (0.82 if g % 2 else 0.8):
+            before = list(other)
+            other.append(rng.choice(words))
+        texts += [" ".join(base), " ".join(before if g % 3 else other)]
+    text = " ".join(rng.choices(words, k=300))
+    texts += [text, text + (" " + " ".join(text.split()[:20])) * 40]
+    want = {i for i in range(1, len(texts), 2) if jaccard(texts[i], texts[i - 1]) >= 0.8}
+    got = {r.doc_id for r in S.one_of_each(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).select("doc_id").collect()}
+    assert set(range(len(texts))) - got == want and 40 < len(want) < 130 and len(texts) - 1 in want
