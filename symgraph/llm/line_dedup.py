@@ -66,16 +66,21 @@ def repeated_runs(lines: DataFrame) -> DataFrame:
     same = ["g", "early", "line"]
     first = written(fours.groupBy(*same).agg(F.min(F.struct("doc_id", "key", "at")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n"), "first")
     later = fours.join(first.hint("merge"), same).where(F.struct("doc_id", "key", "at") > F.col("first")).select("doc_id", "key", "at").distinct()
+    return stretches(later, RUN)
+
+
+def stretches(later: DataFrame, size: int) -> DataFrame:
+    """(doc_id, key, runs): what the runs of `size` places from each `at` of `later` (doc_id, key, at) cover, in order."""
     ordered = Window.partitionBy("doc_id", "key").orderBy("at")
-    apart = F.when(F.col("at") > F.lag("at").over(ordered) + RUN, 1).otherwise(0)
+    apart = F.when(F.col("at") > F.lag("at").over(ordered) + size, 1).otherwise(0)
     islands = later.withColumn("apart", apart).withColumn("island", F.sum("apart").over(ordered))
-    merged = islands.groupBy("doc_id", "key", "island").agg(F.min("at").alias("a"), (F.max("at") + RUN - 1).alias("b"))
+    merged = islands.groupBy("doc_id", "key", "island").agg(F.min("at").alias("a"), (F.max("at") + size - 1).alias("b"))
     return written(merged.groupBy("doc_id", "key").agg(F.sort_array(F.collect_list(F.struct("a", "b"))).alias("runs")), "runs")
 
 
-def kept_text(text: Column, runs: Column) -> Column:
-    """`text` without the lines of `runs`."""
-    lines = lines_of(text)
+def kept_text(text: Column, runs: Column, units=lines_of) -> Column:
+    """`text` without the lines, or other units, of `runs`."""
+    lines = units(text)
     starts = F.concat(F.array(F.lit(0)), F.transform(runs, lambda r: r["b"] + 1))
     ends = F.concat(F.transform(runs, lambda r: r["a"]), F.array(F.size(lines)))
     return F.array_join(F.flatten(F.zip_with(starts, ends, lambda a, b: F.slice(lines, a + 1, F.greatest(b - a, F.lit(0))))), "")
