@@ -30,18 +30,19 @@ WINDOW, PACKET, END = 2048, 512, 1
 def tokenized(docs: DataFrame, tokenizer: str, end: int = END) -> DataFrame:
     """A written table (row, doc_id, source, n, ids): `ids` with `end` after each text, two or four bytes an id, and `wide` to tell."""
     rows = docs.select("doc_id", F.coalesce(F.col("source").cast("string"), F.lit("")).alias("source"), text_or_empty().alias("t"))
-    kind = rows.schema["doc_id"].dataType.simpleString()
     text_batches(docs.sparkSession)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    # only texts go to Python: ids of documents would lose digits there beside a null
+    @F.pandas_udf("n long, wide boolean, ids binary")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         enc = encoder(tokenizer)
         last = np.array([end], enc.dtype).tobytes()
-        for pdf in batches:
-            ids = [enc.encode(t) + last for t in pdf["t"]]
+        for texts in batches:
+            ids = [enc.encode(t) + last for t in texts]
             n = np.fromiter((len(x) // enc.dtype.itemsize for x in ids), np.int64, len(ids))
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "source": pdf["source"], "n": n, "wide": enc.dtype.itemsize == 4, "ids": ids})
+            yield pd.DataFrame({"n": n, "wide": np.full(len(ids), enc.dtype.itemsize == 4), "ids": ids})
 
-    made = rows.mapInPandas(run, f"doc_id {kind}, source string, n long, wide boolean, ids binary")
+    made = rows.select("doc_id", "source", run.asNondeterministic()("t").alias("x")).select("doc_id", "source", "x.*")
     return written(made.withColumn("row", F.monotonically_increasing_id()), "tokens")
 
 
@@ -63,21 +64,29 @@ def placed(tokens: DataFrame, window: int = WINDOW, packet: int = PACKET, weight
     sums = written(sums, "offsets")
     everything = sums.select("source", "total").distinct().agg(F.sum("total")).first()[0] or 0
     share = F.col("total") / F.lit(float(max(everything, 1)))
-    if weights:
+    if weights and any(v < 0 for v in weights.values()):
+        raise ValueError("weights are shares, not below zero")
+    if weights and sum(weights.values()) > 0:
         whole = float(sum(weights.values()))
         given = F.create_map(*[F.lit(x) for k, v in weights.items() for x in (k, v / whole)])
         share = F.coalesce(F.try_element_at(given, "source"), share)
     queued = before_in_block(sizes, ["source", "block"], [F.col("h"), F.col("doc_id"), F.col("row")], "n", "inside")
-    queued = queued.join(sums.withColumn("quantum", share * window), ["source", "block"])
+    sums = sums.withColumn("quantum", share * window)
+    # sources whose target is zero wait until all others are sent, then go by the corpus's own shares
+    last = sums.where("quantum > 0").agg(F.max(F.ceil(F.col("total") / F.col("quantum")))).first()[0] or 0
+    late = F.when(F.col("quantum") > 0, 0).otherwise(int(last)).cast("long")
+    own = F.greatest(F.col("total") / F.lit(float(max(everything, 1))), F.lit(1e-18)) * window
+    sums = sums.withColumn("late", late).withColumn("quantum", F.when(F.col("quantum") > 0, F.col("quantum")).otherwise(own))
+    queued = queued.join(sums, ["source", "block"])
     cut = queued.select(
-        "row", "source", "n", "quantum", (F.col("before") + F.col("inside")).alias("at"),
+        "row", "source", "n", "quantum", "late", (F.col("before") + F.col("inside")).alias("at"),
         F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / packet).cast("long"))).alias("k"),
     )
     packets = cut.select(
         "row", "source", (F.col("k") * packet).alias("start"), F.least(F.lit(packet).cast("long"), F.col("n") - F.col("k") * packet).alias("length"),
-        "quantum", (F.col("at") + F.col("k") * packet).alias("place"),
+        "quantum", "late", (F.col("at") + F.col("k") * packet).alias("place"),
     )
-    packets = packets.withColumn("round", F.ceil((F.col("place") + F.col("length")) / F.col("quantum")).cast("long")).drop("quantum")
+    packets = packets.withColumn("round", F.col("late") + F.ceil((F.col("place") + F.col("length")) / F.col("quantum")).cast("long")).drop("quantum", "late")
     packets = written(packets, "packets")
     last, count = packets.agg(F.max("round"), F.count("*")).first()
     parts = blocks_for(count, most=4096)
@@ -121,7 +130,8 @@ def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, packet: int = PA
 
     Every row of `docs` (doc_id, text, source) is tokenized whole (null text as empty), `end` is added, and each
     id lies in exactly one piece. `weights` are target shares by source (default: the corpus's own, by
-    tokens; sources that it lacks keep theirs). A source that runs out leaves its share to the others. Null
+    tokens; sources that it lacks keep theirs; those of weight zero come after all others, and with no weight above zero the
+    corpus's own shares hold). A source that runs out leaves its share to the others. Null
     sources count as the empty name; repeated rows are packed each; an empty table gives no rows; other
     columns are ignored. Only the last sequence can be short.
     """

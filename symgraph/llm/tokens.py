@@ -1,7 +1,7 @@
 """Token ids of whole texts, by a tokenizer file of the `tokenizers` library.
 
 Plain Latin text goes through `tiktoken`, built from the same file's vocabulary, which is several times as fast; all
-other text goes through `tokenizers`. A text that has both is cut where the tokenizer's own splitting is sure to cut, at a single
+other text goes through `tokenizers`, and so do whole texts that spell out an added token, which gets its own id. A text that has both is cut where the tokenizer's own splitting is sure to cut, at a single
 space or line break between two plain characters. The ids are those of `tokenizers` on the whole text.
 """
 
@@ -30,23 +30,23 @@ class Encoder:
         with open(path, encoding="utf-8") as f:
             form = json.load(f)
         self.fast = _same_vocabulary(form)
-        self.size = max([*form["model"]["vocab"].values(), *(t["id"] for t in form.get("added_tokens", []))]) + 1
+        added = form.get("added_tokens", [])
+        self.special = re.compile("|".join(re.escape(t["content"]) for t in added) or r"(?!)")
+        self.size = max([*form["model"]["vocab"].values(), *(t["id"] for t in added)]) + 1
         self.dtype = np.dtype("<u2") if self.size <= 1 << 16 else np.dtype("<u4")
         self.code = "H" if self.size <= 1 << 16 else "I"  # two and four bytes, low byte first on the machines that Spark runs on
 
     @cached_property
     def slow(self) -> Tokenizer:
         """Loaded only where a text needs it."""
-        made = Tokenizer.from_file(self.path)
-        made.encode_special_tokens = True
-        return made
+        return Tokenizer.from_file(self.path)
 
     def encode(self, text: str) -> bytes:
         """The ids of a text, `dtype` each."""
-        if self.fast and _LATIN.fullmatch(text):
-            return array(self.code, self.fast.encode_ordinary(text)).tobytes()
-        if not self.fast:
+        if not self.fast or self.special.search(text):
             return self._slowly(text)
+        if _LATIN.fullmatch(text):
+            return array(self.code, self.fast.encode_ordinary(text)).tobytes()
         parts = groupby(_BREAK.split(text), lambda p: bool(_LATIN.fullmatch(p)))
         return b"".join(array(self.code, self.fast.encode_ordinary("".join(p))).tobytes() if plain else self._slowly("".join(p)) for plain, p in parts)
 

@@ -9,24 +9,25 @@ from tokenizers import Tokenizer
 
 from symgraph.llm import packing as P
 from symgraph.llm.tokens import encoder
+from tests.oracle import DIR
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 SCHEMA = "doc_id long, text string, source string, row string, n string"
 TRICKY = [
     "", " ", "\n", "a", " a", "a ", "a  b", "a\nb", "a\n\nb", "a \nb", "a\n b", "x\tb c", "don't we'll 's", "é è ü ß", "日本 語 です", "a b c​d",
-    "<|endoftext|> x", "1 2 33 444", "...!! ?? --", "\0 a\0b", "a\r\nb c", "  a b", "tail \n", "🙂 🙂b", "x" * 5000, "a b\x1cc d\x85e f", "naïve cóte İ",
+    "<|endoftext|> x", "a <|endoftext|> b", "日 <|endoftext|><|endoftext|>é b<|endoftext|", "1 2 33 444", "...!! ?? --", "\0 a\0b", "a\r\nb c", "  a b", "tail \n", "🙂 🙂b", "x" * 5000, "a b\x1cc d\x85e f", "naïve cóte İ",
 ]
 
 
 def truth():
     t = Tokenizer.from_file(PATH)
-    t.encode_special_tokens = True
     return lambda s: t.encode(s, add_special_tokens=False).ids
 
 
 def test_ids_are_those_of_the_tokenizer():
     enc, want, rng = encoder(PATH), truth(), random.Random(4)
     texts = TRICKY + ["".join(rng.choices([*" \n\t'.,", *"abcé", "the", "ß", "1", "日", " ", " in", "'s"], k=rng.randint(1, 60))) for _ in range(1500)]
+    texts += ["".join(rng.choices(["a", " ", "b c", "é", "日", "<|endoftext|>", "<|endof", "text|>", "\n"], k=rng.randint(1, 30))) for _ in range(300)]
     for s in texts:
         assert np.frombuffer(enc.encode(s), enc.dtype).tolist() == want(s), repr(s)
 
@@ -105,5 +106,32 @@ def test_sequences_hold_the_ids(spark):
     assert all(r.n_tokens == 256 for r in seqs if r.sequence_id < len(seqs) - 1)
 
 
+def test_whole_documents_have_the_ids_of_the_tokenizer(spark):
+    enc, want = encoder(PATH), truth()
+    for r in spark.read.parquet(f"{DIR}/documents.parquet").select("text").collect():
+        assert np.frombuffer(enc.encode(r.text or ""), enc.dtype).tolist() == want(r.text or "")
+
+
+def test_great_ids_beside_a_null_stay_whole(spark):
+    big = [(1 << 60) + 1, (1 << 60) + 3, None, -(1 << 62) - 1]
+    rows = [(d, f"text {i} <|endoftext|>", None, None, None) for i, d in enumerate(big)]
+    out = P.pack(spark.createDataFrame(rows, SCHEMA).coalesce(1), PATH).collect()
+    got = defaultdict(int)
+    for r in out:
+        got[r.doc_id] += r.length
+    assert got == {d: len(truth()(t)) + 1 for d, t, *_ in rows}
+
+
+def test_weights_of_zero_come_last(spark):
+    rows = [(i, "the blend of " * 40, "ab"[i % 2], None, None) for i in range(60)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    out = P.pack(df, PATH, window=256, packet=64, weights={"a": 0.0, "b": 2.0}).collect()
+    place = lambda r: r.sequence_id * 256 + r.offset
+    assert max(place(r) for r in out if r.doc_id % 2) < min(place(r) for r in out if r.doc_id % 2 == 0)
+    assert sum(r.length for r in out) == sum(r.length for r in P.pack(df, PATH, weights={"a": 0, "b": 0}).collect())
+    with pytest.raises(ValueError):
+        P.pack(df, PATH, weights={"a": -1.0})
+
+
 def test_empty(spark):
     assert P.pack(spark.createDataFrame([], SCHEMA), PATH).collect() == []
