@@ -21,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import maybe_in, text_batches, text_or_empty, written
@@ -280,21 +280,27 @@ def repeated_starts(contexts: DataFrame, length: int, large: int) -> DataFrame:
         contexts = written(parted(one.join(hot, "bucket", "left_semi"), width, length), "contexts")
 
 
+def text_key(col: str = "t") -> Column:
+    """What tells texts apart: SHA-256, as 32 bytes."""
+    return F.unhex(F.sha2(col, 256))
+
+
 def verdicts(docs: DataFrame, length: int = LENGTH, large: int = LARGE) -> DataFrame:
-    """(key, spans): for each text that loses bytes its MD5 and the spans to remove, as an array of (from, to)."""
+    """(key, spans): for each text that loses bytes its SHA-256 and the spans to remove, as an array of (from, to)."""
     text_batches(docs.sparkSession)
-    keyed = docs.select("doc_id", text_or_empty().alias("t")).withColumn("key", F.md5("t"))
+    keyed = docs.select("doc_id", text_or_empty().alias("t")).withColumn("key", text_key())
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            data = [t.encode("utf-8", "surrogatepass") for t in pdf["t"]]
+    # only texts go to Python: ids of documents would lose digits there beside a null
+    @F.pandas_udf("n long, g array<long>")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for texts in batches:
+            data = [t.encode("utf-8", "surrogatepass") for t in texts]
             found: list[list[np.ndarray]] = [[] for _ in data]
             for i, *_, g in anchors(data, length):
                 found[i].append(g)
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "key": pdf["key"], "n": [len(x) for x in data], "g": [np.concatenate(x) if x else np.zeros(0, np.int64) for x in found]})
+            yield pd.DataFrame({"n": np.array([len(x) for x in data], np.int64), "g": [np.concatenate(x) if x else np.zeros(0, np.int64) for x in found]})
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    marked = keyed.select("doc_id", "t", "key").mapInPandas(run, f"doc_id {kind}, key string, n long, g array<long>")
+    marked = keyed.select("doc_id", "key", run.asNondeterministic()("t").alias("x")).select("doc_id", "key", "x.*")
     marked = written(marked.withColumn("row", F.monotonically_increasing_id()), "anchors")
     # of equal texts one row goes on; all of a text that another row has too is removed, if it is long enough
     copies = written(marked.groupBy("key").agg(F.min("row").alias("first"), F.count("*").alias("c"), F.max("n").alias("n")).where("c > 1").drop("c"), "copies")
@@ -329,7 +335,7 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, large: int = LARGE) -> D
     repeat both doc_id and text are two places of one text. An empty table gives no rows; other columns are ignored.
     """
     found = verdicts(docs, length, large)
-    rows = docs.select("doc_id", text_or_empty().alias("t")).withColumn("key", F.md5("t"))
+    rows = docs.select("doc_id", text_or_empty().alias("t")).withColumn("key", text_key())
     rows = maybe_in(rows, found.select(F.xxhash64("key").alias("k")), F.xxhash64("key"), "maybe")
     n = F.octet_length("t").cast("long").alias("n_bytes")
     none = F.lit(0).cast("long")

@@ -79,5 +79,16 @@ def test_matches_brute_force(spark):
         assert sorted(str((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256)) for r in got) == want
 
 
+def test_great_ids_beside_a_null_stay_whole(spark):
+    rng = random.Random(14)
+    shared = "".join(rng.choices("abcdef ", k=400))
+    texts = [shared + " one", "two " + shared, None, "three", shared + shared, "", "four"]
+    ids = [(1 << 60) + 1, (1 << 60) + 3, None, (1 << 60) + 5, None, (1 << 60) + 7, -(1 << 62) - 1]
+    df = spark.createDataFrame([(d, t, None, None, None, None) for d, t in zip(ids, texts, strict=True)], SCHEMA).coalesce(1)
+    want = sorted(str((d, *x)) for d, x in zip(ids, plain(texts, 200), strict=True))
+    got = S.suffix_dedup(df).collect()
+    assert sorted(str((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256)) for r in got) == want
+
+
 def test_empty(spark):
     assert S.suffix_dedup(spark.createDataFrame([], SCHEMA)).collect() == []
