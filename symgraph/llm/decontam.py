@@ -6,7 +6,10 @@ counted in diagonal bands that overlap by half, a band with fewer than that boun
 once the same bound holds for shorter q-grams, are verified by an alignment within the band.
 
 Texts are compared in lower case with every run of other than letters and digits as one space. A
-benchmark item is one passage, or, if it is long, windows of it, so that a part that leaked is found too.
+benchmark item is one passage, or, if it is long, windows of it, so that a part that leaked is found too: any stretch of
+`WINDOW + STEP - 1` characters of such an item holds a whole window. An item that is edited within the rate as a whole has a
+window that is, unless its edits all but fill it and it has few windows; where that can be, the item is a passage too.
+Passages too short for the bound over grams of eight characters are searched by shorter grams.
 The benchmark is taken in blocks of bounded size, each of which is searched in all documents.
 """
 
@@ -15,6 +18,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from typing import Any
 
 import numpy as np
 import pandas as pd
@@ -23,7 +27,7 @@ from pyspark.sql import functions as F
 
 from .common import text_batches, text_or_empty, written
 
-Q, RATE, WINDOW, STEP, BLOCK_CHARS, PIECE = 8, 0.1, 160, 80, 4 << 20, 1 << 20
+Q, RATE, WINDOW, STEP, BLOCK_CHARS, PIECE, CELLS = 8, 0.1, 160, 40, 4 << 20, 1 << 20, 1 << 21
 _BITS, _SLOTS = 22, 18
 
 
@@ -39,17 +43,38 @@ def plain_codes() -> np.ndarray:
     return out
 
 
-def normal(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """Codes with 32 for each inner run of other characters, and each code's offset in `text`."""
+def squeezed(text: str, after: bool, base: int = 0) -> tuple[np.ndarray, np.ndarray, bool]:
+    """Codes with 32 for each run of other characters, each code's offset (from `base`), and whether the last character has
+    a code. `after`: whether the one before `text` had; a run that goes on, or begins a text, is no space."""
     codes = plain_codes()[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")]
     keep = codes > 0
+    end = bool(keep[-1]) if len(keep) else after
     keep[1:] |= codes[:-1] > 0
+    if after:
+        keep[:1] = True
     at = np.flatnonzero(keep)
     codes = codes[at]
     codes[codes == 0] = 32
-    if len(codes) and codes[-1] == 32:
-        codes, at = codes[:-1], at[:-1]
-    return codes, at
+    return codes, at + base, end
+
+
+def normal(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """Codes with 32 for each inner run of other characters, and each code's offset in `text`."""
+    codes, at, end = squeezed(text, False)
+    return (codes, at) if end or not len(codes) else (codes[:-1], at[:-1])
+
+
+def normal_pieces(text: str, lap: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """`normal` of a text, or of pieces of a very long one, of which neighbours share `lap` codes, however much lies between them."""
+    if len(text) <= PIECE:
+        yield normal(text)
+        return
+    held, after = (np.zeros(0, np.uint32), np.zeros(0, np.int64)), False
+    for base in range(0, len(text), PIECE):
+        codes, at, after = squeezed(text[base : base + PIECE], after, base)
+        held = np.concatenate((held[0], codes)), np.concatenate((held[1], at))
+        yield held
+        held = held[0][len(held[0]) - min(lap, len(held[0])) :], held[1][len(held[1]) - min(lap, len(held[1])) :]
 
 
 def gram_hashes(codes: np.ndarray, q: int = Q) -> np.ndarray:
@@ -63,9 +88,10 @@ def gram_hashes(codes: np.ndarray, q: int = Q) -> np.ndarray:
 
 @dataclass
 class Passages:
-    """Passages of a block of benchmark items, and an index of their q-grams."""
+    """Passages of a block of benchmark items, and an index of their grams of `q` characters."""
 
-    items: np.ndarray
+    q: int
+    items: list
     codes: list[np.ndarray]
     edits: np.ndarray
     needed: np.ndarray
@@ -77,32 +103,45 @@ class Passages:
     slot: np.ndarray
 
 
-def passages(items: list[tuple[int, str]], q: int = Q, rate: float = RATE, window: int = WINDOW, step: int = STEP) -> Passages:
-    ids, codes = [], []
+def passages(items: list[tuple[Any, str]], q: int = Q, rate: float = RATE, window: int = WINDOW, step: int = STEP) -> list[Passages]:
+    """The passages of `items`, in one index for those that bear grams of `q` characters and one for those that need shorter ones."""
+    found: dict[bool, list[tuple[Any, np.ndarray, int]]] = {True: [], False: []}
     for item, text in items:
         c = normal(text or "")[0]
-        if len(c) < q:
+        n = len(c)
+        if n < q:
             continue
-        starts = [0] if len(c) <= window + step // 2 else [*range(0, len(c) - window, step), len(c) - window]
-        for s in starts:
-            ids.append(item)
-            codes.append(c if len(starts) == 1 else c[s : s + window])
+        own = [c]
+        if n > window + step // 2:
+            own = [c[s : s + window] for s in [*range(0, n - window, step), n - window]]
+            # whole windows one after another, each with an edit too many, would be over the rate of the item
+            if int(n * rate) >= n // window * (int(window * rate) + 1):
+                own.append(c)
+        for x in own:
+            e = int(len(x) * rate)
+            found[q * (e + 1) <= len(x)].append((item, x, e))
+    least = min((len(x) // (e + 1) for _, x, e in found[False]), default=q)
+    return [indexed(rows, g) for rows, g in ((found[True], q), (found[False], max(1, least))) if rows]
+
+
+def indexed(rows: list[tuple[Any, np.ndarray, int]], q: int) -> Passages:
+    codes, edits = [c for _, c, _ in rows], np.array([e for *_, e in rows], np.int64)
     size = np.array([len(c) for c in codes], np.int64)
-    edits = np.minimum((size * rate).astype(np.int64), np.maximum(0, (size - q) // q))
     hashes = [gram_hashes(c, q) for c in codes]
-    grams = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
+    grams = np.concatenate(hashes)
     of = np.repeat(np.arange(len(codes)), [len(h) for h in hashes])
-    place = np.concatenate([np.arange(len(h)) for h in hashes]) if hashes else np.zeros(0, np.int64)
+    place = np.concatenate([np.arange(len(h)) for h in hashes])
     order = np.argsort(grams, kind="stable")
     unique, begin = np.unique(grams[order], return_index=True)
     seen = np.zeros(1 << _BITS, bool)
     seen[(grams >> np.uint64(64 - _BITS)).astype(np.int64)] = True
-    return Passages(np.array(ids), codes, edits, size - q + 1 - q * edits, unique, np.append(begin, len(grams)), of[order], place[order], seen, np.searchsorted(unique, np.arange(1 << _SLOTS, dtype=np.uint64) << np.uint64(64 - _SLOTS)))
+    slot = np.searchsorted(unique, np.arange(1 << _SLOTS, dtype=np.uint64) << np.uint64(64 - _SLOTS))
+    return Passages(q, [i for i, *_ in rows], codes, edits, size - q + 1 - q * edits, unique, np.append(begin, len(grams)), of[order], place[order], seen, slot)
 
 
-def bands(codes: np.ndarray, p: Passages, q: int = Q) -> tuple[np.ndarray, np.ndarray]:
+def bands(codes: np.ndarray, p: Passages) -> tuple[np.ndarray, np.ndarray]:
     """Passage and first diagonal of each band, 2 * (edits + 1) wide, with as many shared q-grams as its bound."""
-    h = gram_hashes(codes, q)
+    h = gram_hashes(codes, p.q)
     x = np.flatnonzero(p.seen[(h >> np.uint64(64 - _BITS)).astype(np.int64)])
     if not len(x):
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
@@ -185,73 +224,73 @@ def aligned(text: np.ndarray, patterns: np.ndarray, sizes: np.ndarray, first: np
     return out
 
 
-def hits(texts: list[str], p: Passages) -> list[tuple[int, int, int, int, int]]:
-    """(number of the text, item, edits, start, end) of the best place of each item in each text."""
+def hits(texts: list[tuple[np.ndarray, np.ndarray]], p: Passages) -> list[tuple[int, Any, int, int, int]]:
+    """(number of the text, item, edits, start, end) of the best place of each item in each text, given as `normal` does."""
     gap = int(p.edits.max(initial=0)) + 1  # wider than any alignment may skip
-    parts, starts, origin, size = [], [], [], 0
-    for t in texts:
-        codes, at = normal(t)
+    parts, starts, size = [], [], 0
+    for codes, _ in texts:
         parts += [codes, np.zeros(gap, np.uint32)]
         starts.append(size)
-        origin.append(at)
         size += len(codes) + gap
     joined, begins = np.concatenate(parts), np.array(starts)
     of, first = bands(joined, p)
     if len(of):
         good = likely(joined, p, of, first)
         of, first = of[good], first[good]
-    found: dict[tuple[int, int], tuple[int, int, int]] = {}
-    e = int(p.edits[of].max(initial=0))
-    for some in np.array_split(np.arange(len(of)), max(1, -(-len(of) // 1024))):
-        sizes = np.array([len(p.codes[i]) for i in of[some]], np.int64)
-        patterns = np.zeros((len(some), int(sizes.max(initial=0))), np.uint32)
+    found: dict[tuple[int, Any], tuple[int, int, int]] = {}
+    sizes = np.array([len(p.codes[i]) for i in of], np.int64)
+    order = np.argsort(sizes, kind="stable")
+    at = 0
+    while at < len(order):  # alignments of like size together, of a bounded number of cells
+        width = 4 * int(p.edits[of[order[at]]]) + 3
+        some = order[at : at + min(1024, max(1, CELLS // width))]
+        some = some[sizes[some] <= max(64, 2 * sizes[some[0]])]
+        at += len(some)
+        patterns = np.zeros((len(some), int(sizes[some[-1]])), np.uint32)
         for row, i in enumerate(of[some]):
-            patterns[row, : sizes[row]] = p.codes[i]
-        edits, a, b = aligned(joined, patterns, sizes, first[some] - p.edits[of[some]], 4 * e + 3)
+            patterns[row, : sizes[some[row]]] = p.codes[i]
+        edits, a, b = aligned(joined, patterns, sizes[some], first[some] - p.edits[of[some]], 4 * int(p.edits[of[some]].max()) + 3)
         good = np.flatnonzero((edits <= p.edits[of[some]]) & (b > a))
         doc = np.searchsorted(begins, a[good], side="right") - 1
         for i, d in zip(good.tolist(), doc.tolist(), strict=True):
-            at, base = origin[d], begins[d]
-            one = (int(edits[i]), int(at[a[i] - base]), int(at[b[i] - 1 - base]) + 1)
-            key = (d, p.items[of[some[i]]].item())
+            at_, base = texts[d][1], begins[d]
+            one = (int(edits[i]), int(at_[a[i] - base]), int(at_[b[i] - 1 - base]) + 1)
+            key = (d, p.items[of[some[i]]])
             if key not in found or one < found[key]:
                 found[key] = one
-    return [(*key, *x) for key, x in sorted(found.items())]
+    return [(*key, *x) for key, x in found.items()]
 
 
-def pieces(texts: list[str], p: Passages) -> Iterator[tuple[list[int], list[int], list[str]]]:
-    """Runs of about `PIECE` characters: number of the text, offset in it, and text; very long texts are cut with overlap."""
-    lap = 8 * max((len(c) for c in p.codes), default=0)
-    numbers, offsets, held, size = [], [], [], 0
+def pieces(texts: list[str], lap: int) -> Iterator[tuple[list[int], list[tuple[np.ndarray, np.ndarray]]]]:
+    """Runs of about `PIECE` codes: number of the text, and its codes and their offsets; very long texts come in pieces."""
+    numbers, held, size = [], [], 0
     for i, t in enumerate(texts):
-        for base in range(0, max(len(t) - lap, 1), PIECE):
-            part = t if len(t) <= PIECE + lap else t[base : base + PIECE + lap]
-            if size and size + len(part) > PIECE + lap:
-                yield numbers, offsets, held
-                numbers, offsets, held, size = [], [], [], 0
+        for codes, at in normal_pieces(t, lap):
+            if size and size + len(codes) > PIECE + lap:
+                yield numbers, held
+                numbers, held, size = [], [], 0
             numbers.append(i)
-            offsets.append(base)
-            held.append(part)
-            size += len(part)
-            if part is t:
-                break
+            held.append((codes, at))
+            size += len(codes)
     if held:
-        yield numbers, offsets, held
-
-
-def found_in(texts: list[str], p: Passages) -> list[tuple[int, int, int, int, int]]:
-    """As `hits`, for texts of any length."""
-    best: dict[tuple[int, int], tuple[int, int, int]] = {}
-    if p.codes:
-        for numbers, offsets, held in pieces(texts, p):
-            for i, item, edits, a, b in hits(held, p):
-                key, one = (numbers[i], item), (edits, a + offsets[i], b + offsets[i])
-                if key not in best or one < best[key]:
-                    best[key] = one
+        yield numbers, held
+
+
+def found_in(texts: list[str], ps: list[Passages]) -> list[tuple[int, Any, int, int, int]]:
+    """(number of the text, item, edits, start, end) of the best place of each item in each text, of any length."""
+    best: dict[tuple[int, Any], tuple[int, int, int]] = {}
+    if ps:
+        lap = max(len(c) + int(e) for p in ps for c, e in zip(p.codes, p.edits, strict=True)) + 1
+        for numbers, held in pieces(texts, lap):
+            for p in ps:
+                for i, item, *one in hits(held, p):
+                    key = (numbers[i], item)
+                    if key not in best or tuple(one) < best[key]:
+                        best[key] = tuple(one)
     return [(*key, *x) for key, x in sorted(best.items())]
 
 
-def blocks(benchmark: DataFrame, most: int = BLOCK_CHARS) -> Iterator[list[tuple[int, str]]]:
+def blocks(benchmark: DataFrame, most: int = BLOCK_CHARS) -> Iterator[list[tuple[Any, str]]]:
     """The benchmark's items in blocks of about `most` characters; no more than one block is on the driver."""
     rows = benchmark.where("item_id is not null and text is not null").select("item_id", F.col("text").cast("string").alias("text"))
     total = rows.agg(F.sum(F.length("text"))).first()[0] or 0
@@ -262,16 +301,30 @@ def blocks(benchmark: DataFrame, most: int = BLOCK_CHARS) -> Iterator[list[tuple
         yield [(r["item_id"], r["text"]) for r in own.select("item_id", "text").orderBy("item_id", "text").collect()]
 
 
-def _clean(p: Passages):
+def _clean(ps: list[Passages]):
     @F.pandas_udf("boolean")
     def clean(texts: pd.Series) -> pd.Series:
         out = np.ones(len(texts), bool)
-        out[[x[0] for x in found_in(texts.tolist(), p)]] = False
+        out[[x[0] for x in found_in(texts.tolist(), ps)]] = False
         return pd.Series(out)
 
     return clean.asNondeterministic()
 
 
+def _places(ps: list[Passages], item: str):
+    """What is found in each text. Only texts go to Python: ids of documents would lose digits there beside a null."""
+
+    @F.pandas_udf(f"item_id array<{item}>, edits array<long>, start array<long>, end array<long>")
+    def places(texts: pd.Series) -> pd.DataFrame:
+        out: list[list[list]] = [[[], [], [], []] for _ in range(len(texts))]
+        for i, *one in found_in(texts.tolist(), ps):
+            for column, x in zip(out[i], one, strict=True):
+                column.append(x)
+        return pd.DataFrame(out, columns=["item_id", "edits", "start", "end"])
+
+    return places.asNondeterministic()
+
+
 def without_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = RATE) -> DataFrame:
     """`docs` (text, any other columns) without the rows in which a benchmark item is found, see `leaks`.
 
@@ -288,23 +341,17 @@ def leaks(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, key: str =
     """One row per document and benchmark item found in it: doc_id, item_id, edits, start, end.
 
     `docs` (doc_id, text), `benchmark` (item_id, text). A passage counts with at most `rate` of its characters
-    edited. start, end: characters of the text. Items with fewer than eight letters, digits and
-    inner spaces, null items and null texts match nothing; empty tables give no rows; of repeated items
+    edited; passages are whole items, or windows of long ones: a verbatim part of `WINDOW + STEP - 1` characters of a long item is
+    always found, a shorter part or one of a short item need not be. start, end: characters of the text. Items with fewer than
+    eight letters, digits and inner spaces, null items and null texts match nothing; empty tables give no rows; of repeated items
     and rows each is reported once; other columns are ignored. `key` names another column to carry for doc_id.
     """
     rows = docs.select(F.col(key).alias("doc_id"), text_or_empty().alias("t"))
-    kinds = [docs.schema[key].dataType.simpleString(), benchmark.schema["item_id"].dataType.simpleString()]
-    schema = f"doc_id {kinds[0]}, item_id {kinds[1]}, edits long, start long, end long"
+    kind = benchmark.schema["item_id"].dataType.simpleString()
     found = None
     text_batches(docs.sparkSession)
     for block in blocks(benchmark):
-        p = passages(block, rate=rate)
-
-        def run(batches: Iterator[pd.DataFrame], p: Passages = p) -> Iterator[pd.DataFrame]:
-            for pdf in batches:
-                out = pd.DataFrame(found_in(pdf["t"].tolist(), p), columns=["row", "item_id", "edits", "start", "end"])
-                yield out.assign(doc_id=pdf["doc_id"].to_numpy()[out["row"].to_numpy(np.int64)]).drop(columns="row")
-
-        some = rows.mapInPandas(run, schema)
+        some = rows.select("doc_id", _places(passages(block, rate=rate), kind)("t").alias("x")).where(F.size("x.edits") > 0)
+        some = some.select("doc_id", F.explode(F.arrays_zip("x.item_id", "x.edits", "x.start", "x.end")).alias("m")).select("doc_id", "m.*")
         found = some if found is None else found.unionByName(some)
     return found.groupBy("doc_id", "item_id").agg(F.min(F.struct("edits", "start", "end")).alias("m")).select("doc_id", "item_id", "m.edits", "m.start", "m.end")

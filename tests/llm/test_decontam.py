@@ -41,21 +41,21 @@ def prose(rng, n):
 
 def test_matches_brute_force():
     rng = random.Random(8)
-    items = [(i, prose(rng, rng.choice([9, 14, 20]))) for i in range(12)]
+    items = [(i, prose(rng, rng.choice([2, 3, 4, 6, 9, 14, 20]))) for i in range(12)]
     texts = []
-    for _ in range(60):
+    for _ in range(120):
         i, t = rng.choice(items)
         texts.append(prose(rng, rng.randint(0, 60)) + " " + edited(t.upper() if rng.random() < 0.3 else t, rng.randint(0, 14), rng) + "\n\n" + prose(rng, rng.randint(0, 30)))
     texts += ["", " . ", prose(rng, 3), items[3][1], items[3][1] * 3]
     p = D.passages(items)
-    assert len(p.codes) == len(items)  # one passage each, so brute force is over whole items
+    assert sum(len(x.codes) for x in p) == len(items)  # one passage each, so brute force is over whole items
     got = {(d, i): e for d, i, e, *_ in D.found_in(texts, p)}
     want = {}
     for d, t in enumerate(texts):
         for i, b in items:
             pattern = norm(b)
             e = least_edits(pattern, norm(t))
-            if e <= min(int(len(pattern) * D.RATE), (len(pattern) - D.Q) // D.Q):
+            if e <= int(len(pattern) * D.RATE):
                 want[d, i] = e
     assert got == want and len(want) > 30
 
@@ -74,6 +74,49 @@ def test_spans_and_windows_and_long_texts(monkeypatch):
     assert item == 2 and edits == 0 and norm(big[a:b]) == norm(short)
 
 
+def test_pieces_lose_nothing_at_their_borders(monkeypatch):
+    """A text cut at every offset, with the passage's words far apart."""
+    rng = random.Random(12)
+    item = prose(rng, 5)
+    for blanks in (1, 120):
+        text = (" " * blanks).join((prose(rng, 9) + " " + item + " " + prose(rng, 9)).split())
+        for piece in range(40, len(text), 7 if blanks > 1 else 1):
+            monkeypatch.setattr(D, "PIECE", piece)
+            ((_, _, edits, a, b),) = D.found_in([text], D.passages([(1, item)]))
+            assert edits == 0 and norm(text[a:b]) == norm(item)
+
+
+def test_every_part_of_the_stated_length_is_found():
+    rng = random.Random(13)
+    item = norm(prose(rng, 90))
+    p, n = D.passages([(1, item)]), D.WINDOW + D.STEP - 1
+    for a in range(len(item) - n + 1):
+        part = item[a : a + n].strip()
+        if len(part) == n:
+            assert D.found_in(["qq" + "z" * 9 + " " + part + " " + "z" * 9], p), a
+
+
+def test_a_long_item_edited_within_the_rate_is_found():
+    """Edits spread so that hardly a window is within the rate by itself."""
+    rng = random.Random(15)
+    for n in (190, 230, 300, 333, 390):
+        item = (norm(prose(rng, 90)))[:n].strip()
+        budget = int(len(item) * D.RATE)
+        places = [round((k + 0.5) * len(item) / budget) for k in range(budget)]
+        text = "".join("#" if i in places and c != " " else c for i, c in enumerate(item)).replace("#", "0")
+        assert D.found_in(["zz yy " + text + " yy"], D.passages([(1, item)])), n
+
+
+def test_great_ids_beside_a_null_stay_whole(spark):
+    rng = random.Random(16)
+    item = prose(rng, 15)
+    ids = [(1 << 60) + 1, (1 << 60) + 3, None, (1 << 60) + 5]
+    docs = spark.createDataFrame([(d, None if i == 3 else f"{i} {item}", None, None) for i, d in enumerate(ids)], DOCS).coalesce(1)
+    bench = spark.createDataFrame([((1 << 61) + 1, item, None), (None, None, None)], BENCH).coalesce(1)
+    got = D.leaks(docs, bench).collect()
+    assert sorted(str((r.doc_id, r.item_id)) for r in got) == sorted(str((d, (1 << 61) + 1)) for d in ids[:3])
+
+
 def test_leaks(spark, monkeypatch):
     rng = random.Random(10)
     items = [(i, prose(rng, 15), "clash") for i in range(6)] + [(None, prose(rng, 15), None), (9, None, None), (10, "ab c", None), (1, None, None)]
