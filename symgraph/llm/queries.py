@@ -61,8 +61,8 @@ def op9_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = warc.archive_pages(_table(spark, sf_dir, "pages"))
-    return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    out = warc.with_place(warc.archive_pages(_table(spark, sf_dir, "pages")))
+    return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "place")
 
 
 QUERIES = {"op1_language_crf": op1_language_crf, "op2_suffix_dedup": op2_suffix_dedup, "op3_simhash_near_dedup": op3_simhash_near_dedup, "op4_mixture_packing": op4_mixture_packing, "op5_line_dedup": op5_line_dedup, "op6_exact_dedup": op6_exact_dedup, "op7_qgram_decontamination": op7_qgram_decontamination, "op8_toxicity_cnn": op8_toxicity_cnn, "op9_feistel_pseudonyms": op9_feistel_pseudonyms, "op10_warc_index": op10_warc_index}

@@ -45,6 +45,42 @@ def test_archives_come_back(spark):
     assert keys == sorted(keys)
 
 
+def test_order_over_many_runs_and_shards(spark):
+    rng = random.Random(8)
+    rows = [(i, f"http://{rng.choice('abc')}.example/{rng.choice(['', 'é', 'Z', '~', str(i)])}", f"{i % 50}", None, None, None) for i in range(3000)]
+    index = W.merged_index(W.read_archives(spark, archived(spark, rows, 7)), shard_rows=400)
+    out = index.collect()
+    keys = [(r.url_key.encode(), r.timestamp, r.page_id) for r in sorted(out, key=lambda r: (r.shard, r.line))]
+    assert keys == sorted(keys) and len(set(keys)) == 3000 and len({r.shard for r in out}) > 4
+    placed = W.with_place(index).orderBy("place").collect()
+    assert [r.place for r in placed] == list(range(3000)) and [(r.url_key.encode(), r.timestamp, r.page_id) for r in placed] == keys
+
+
+def archived(spark, rows, parts):
+    path = W.shared_path(spark, "warc")
+    W.write_archives(spark.createDataFrame(rows, SCHEMA).repartition(parts), path)
+    return path
+
+
+def test_runs_are_merged_by_the_tree_and_found_as_they_come():
+    rng = random.Random(4)
+    runs = [sorted((rng.choice("ab"), "2", rng.choice([None, 1, 1 << 61])) for _ in range(n)) if n < 3 else None for n in (0, 1, 2)]
+    rows = [r for run in runs for r in run] + sorted([("é", "2", 7), ("z", "2", 7), ("a", "1", 3)], key=lambda r: (r[0].encode(), r[1:]))
+    batch = W._batch([(p, "u", u, t, 0, "d", "response", None) for u, t, p in rows])
+    whole, cuts = W.sorted_runs(iter([batch.slice(0, 2), batch.slice(2)]))
+    assert cuts[0][0] == 0 and cuts[-1][1] == len(rows) and all(a[1] == b[0] for a, b in zip(cuts[:-1], cuts[1:], strict=True))
+    for a, b in cuts:
+        keys = list(W.keys_of(whole, a, b))
+        assert keys == sorted(keys)
+
+
+def test_great_ids_beside_a_null_stay_whole(spark):
+    ids = [(1 << 60) + 1, (1 << 60) + 3, None, (1 << 60) + 5, (1 << 60) + 7]
+    rows = [(p, "http://a.example", t, None, None, None) for p, t in zip(ids, ["same", "same", "same", "own", None], strict=True)]
+    out = W.archive_pages(spark.createDataFrame(rows, SCHEMA).coalesce(1)).collect()
+    assert sorted(str((r.page_id, r.refers_to)) for r in out) == sorted(str(x) for x in [(ids[0], ids[1]), (ids[1], None), (None, ids[1]), (ids[3], None), (ids[4], None)])
+
+
 def test_least_bytes_and_empty(spark):
     rows = [(i, "http://a.example", t, None, None, None) for i, t in enumerate(["ab", "ab", "abcd", "abcd"])]
     out = W.archive_pages(spark.createDataFrame(rows, SCHEMA), least_bytes=3).collect()
