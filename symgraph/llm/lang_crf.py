@@ -4,8 +4,9 @@ Each word gets a score for each language from its affixes, its character n-grams
 learned transitions tie neighbours, and forward-backward gives every word's posterior, so a text that
 changes language is labelled word by word. A document's language is that of the greatest share of words.
 
-The model is fitted in numpy on a bounded sample of labelled rows (`per_language` texts, of each a window
-of `window` characters); it sees spliced texts of several languages, so transitions are learned too.
+The model is fitted in numpy on a bounded sample of labelled rows: `per_language` texts of each of the `languages` most
+frequent languages, whole or, of texts longer than that, a window of `window` characters from anywhere in the text; it
+sees spliced texts of several languages, so transitions are learned too.
 Prediction reads whole texts. Forward-backward runs on segments of `SEGMENT` words, all at once: first each
 segment's product of matrices, then along each document from segment to segment, then within segments; the
 result is that of the plain recursion.
@@ -19,13 +20,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import crc32_of_id, text_batches, text_or_empty
-from .words import M, Words, chunks, edge, mixed, whole, words_of
+from .words import M, Words, chunks, edge, mixed, whole, word_cuts, words_of
 
-SLOTS, SEGMENT, PER_LANGUAGE, WINDOW, UNKNOWN = 1 << 16, 64, 300, 3000, "und"
+SLOTS, SEGMENT, PER_LANGUAGE, LANGUAGES, WINDOW, PIECE, UNKNOWN = 1 << 16, 64, 300, 400, 3000, 1 << 20, "und"
 
 
 @dataclass
@@ -74,7 +75,8 @@ def emissions(w: Words, m: Model) -> np.ndarray:
 def posteriors(scores: np.ndarray, first: np.ndarray, trans: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Each word's posterior over labels, and the expected transition counts, by forward-backward.
 
-    `first`: where each document's words begin, and the end. Exact for any length.
+    `first`: where each document's words begin, and the end. Exact for any length. Transitions are from word to word:
+    the first of a document has none.
     """
     n, labels = scores.shape
     expected = np.zeros((labels, labels))
@@ -91,12 +93,16 @@ def posteriors(scores: np.ndarray, first: np.ndarray, trans: np.ndarray) -> tupl
     start = first[docs][doc] + number * SEGMENT
     size = np.minimum(SEGMENT, first[docs + 1][doc] - start)
     order = np.argsort(-size, kind="stable")
+    opening = (number == 0)[order][:, None]
     start_o, alive = start[order], [int(k) for k in np.searchsorted(-size[order], -np.arange(1, SEGMENT + 1), side="right")]
     product = np.broadcast_to(np.eye(labels, dtype=np.float32), (len(order), labels, labels)).copy()
     for t, k in enumerate(alive):
         if not k:
             break
-        p = (product[:k].reshape(-1, labels) @ step).reshape(k, labels, labels) * e[start_o[:k] + t][:, None, :]
+        p = (product[:k].reshape(-1, labels) @ step).reshape(k, labels, labels)
+        if not t:
+            p = np.where(opening[:k, :, None], product[:k], p)
+        p = p * e[start_o[:k] + t][:, None, :]
         product[:k] = p / p.sum(axis=(1, 2), keepdims=True)
     place = np.empty_like(order)
     place[order] = np.arange(len(order))
@@ -123,6 +129,8 @@ def posteriors(scores: np.ndarray, first: np.ndarray, trans: np.ndarray) -> tupl
             break
         at = start_o[:k] + t
         ahead = state[:k] @ step
+        if not t:
+            ahead = np.where(opening[:k], state[:k], ahead)
         before[at] = ahead
         s = ahead * e[at]
         state[:k] = s / s.sum(axis=1, keepdims=True)
@@ -202,33 +210,34 @@ def fit(texts: list[str], langs: list[str], rounds: int = 6, rate: float = 0.5,
     return m
 
 
-def label_words(texts: list[str], m: Model) -> Iterator[tuple[Words, np.ndarray]]:
-    """Words and posteriors, a run of texts at a time; very long texts are scored piece by piece but decoded whole."""
+def label_words(texts: list[str], m: Model) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Where each text's words begin, and the end, and the words' posteriors, a run of texts at a time. Very long texts are
+    scored piece by piece, so that memory holds a few numbers a word of them, but decoded whole."""
     for a, b in chunks(texts):
-        w = words_of(texts[a:b])
-        yield w, posteriors(emissions(w, m), w.first, m.trans)[0]
-
-
-def sample(docs: DataFrame, learn: Column, per_language: int = PER_LANGUAGE, window: int = WINDOW) -> tuple[list[str], list[str]]:
-    """At most `per_language` labelled texts a language, of each a window of at most `window` characters."""
+        if b - a == 1 and len(texts[a]) > PIECE:
+            cuts = word_cuts(texts[a], PIECE)
+            scores = np.concatenate([emissions(words_of([texts[a][i:j]]), m) for i, j in zip(cuts[:-1], cuts[1:], strict=True)])
+            first = np.array([0, len(scores)])
+        else:
+            w = words_of(texts[a:b])
+            scores, first = emissions(w, m), w.first
+        yield first, posteriors(scores, first, m.trans)[0]
+
+
+def sample(docs: DataFrame, learn: Column, per_language: int = PER_LANGUAGE, window: int = WINDOW, languages: int = LANGUAGES) -> tuple[list[str], list[str]]:
+    """At most `per_language` labelled texts of each of the `languages` most frequent languages; of a text of more than
+    `window` characters a window of as many, from anywhere in it. That bounds what comes to the driver."""
     rows = docs.where(learn & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
+    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).collect()}
+    if not counts:
+        return [], []
     h = F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(1 << 30))
-    limits = [(F.col("lang") == g) & (h < min(1 << 30, int((1 << 30) * 1.3 * per_language / c) + 1)) for g, c in counts.items()]
-    chosen = limits[0] if limits else F.lit(False)
-    for x in limits[1:]:
-        chosen = chosen | x
+    limit = F.create_map(*[F.lit(x) for g, c in counts.items() for x in (g, min(1 << 30, int((1 << 30) * (1.3 * per_language + 50) / c) + 1))])
     at = F.greatest(F.lit(1), F.pmod(F.xxhash64("doc_id"), F.greatest(F.lit(1), F.length("text") - window)).cast("int"))
-    got = rows.where(chosen).select("lang", F.substring("text", at, F.lit(window)).alias("t"), h.alias("h")).collect()
-    got.sort(key=lambda r: (r["lang"], r["h"], r["t"]))
-    taken: dict[str, int] = {}
-    texts, langs = [], []
-    for r in got:
-        if taken.setdefault(r["lang"], 0) < per_language:
-            taken[r["lang"]] += 1
-            texts.append(r["t"])
-            langs.append(r["lang"])
-    return texts, langs
+    some = rows.where(h < F.try_element_at(limit, F.col("lang"))).select("lang", F.substring("text", at, F.lit(window)).alias("t"), h.alias("h"))
+    some = some.withColumn("nth", F.row_number().over(Window.partitionBy("lang").orderBy("h", "t"))).where(F.col("nth") <= per_language)
+    got = sorted(some.collect(), key=lambda r: (r["lang"], r["nth"]))
+    return [r["t"] for r in got], [r["lang"] for r in got]
 
 
 def labelled(m: Model):
@@ -239,11 +248,11 @@ def labelled(m: Model):
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
             out = [pd.DataFrame({"lang_pred": [], "score": [], "n_words": [], "n_switches": []})] if not len(texts) else []
-            for w, gamma in label_words(texts.tolist(), m):
+            for first, gamma in label_words(texts.tolist(), m):
                 best = gamma.argmax(axis=1)
                 switch = np.concatenate(([0], np.cumsum(np.concatenate(([0], best[1:] != best[:-1])))))
                 total = np.concatenate((np.zeros((1, gamma.shape[1])), np.cumsum(gamma, axis=0, dtype=np.float64)))
-                a, b = w.first[:-1], w.first[1:]
+                a, b = first[:-1], first[1:]
                 share = (total[b] - total[a]) / np.maximum(b - a, 1)[:, None]
                 some = b > a
                 changes = np.where(some, switch[b] - switch[np.minimum(a + 1, b)], 0)

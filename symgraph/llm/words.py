@@ -80,3 +80,27 @@ def chunks(texts: list[str], most: int = 1 << 20) -> Iterator[tuple[int, int]]:
         size += len(t)
     if at < len(texts):
         yield at, len(texts)
+
+
+def word_cuts(text: str, most: int = 1 << 20) -> list[int]:
+    """Where pieces of a very long text begin, and its end: about `most` characters apart and never inside a word."""
+    cuts, n = [0], len(text)
+    while n - cuts[-1] > most:
+        at = cuts[-1] + most
+        while at < n and text[at - 1].isalpha() and text[at].isalpha():
+            at += 1
+        if at == n:
+            break
+        cuts.append(at)
+    return [*cuts, n]
+
+
+def after_words(text: str, at: int, count: int) -> int:
+    """The place in `text` just after `count` words from `at`, or its end."""
+    n = len(text)
+    for _ in range(count):
+        while at < n and not text[at].isalpha():
+            at += 1
+        while at < n and text[at].isalpha():
+            at += 1
+    return at

@@ -19,7 +19,7 @@ def plain(scores, trans):
     n, k = scores.shape
     alpha, beta, s = np.zeros((n, k)), np.ones((n, k)), np.full(k, 1 / k)
     for t in range(n):
-        s = (s @ a) * e[t]
+        s = (s @ a if t else s) * e[t]
         s = alpha[t] = s / s.sum()
     for t in range(n - 2, -1, -1):
         beta[t] = a @ (e[t + 1] * beta[t + 1])
@@ -42,10 +42,27 @@ def test_posteriors_match_the_plain_recursion():
 def test_code_switched_words_are_labelled():
     rows = corpus(200)
     m = L.fit([r[1] for r in rows], [r[2] for r in rows])
-    (w, gamma), = L.label_words(["bala kala mala tala sala dala kala xyzo qyzo vyzo wyzo zyzo ryzo xyzo"], m)
+    (_, gamma), = L.label_words(["bala kala mala tala sala dala kala xyzo qyzo vyzo wyzo zyzo ryzo xyzo"], m)
     assert [m.labels[i] for i in gamma.argmax(1)] == ["aa"] * 7 + ["zz"] * 7
 
 
+def test_very_long_texts_are_labelled_as_whole(monkeypatch):
+    rows = corpus(100)
+    m = L.fit([r[1] for r in rows], [r[2] for r in rows])
+    text = " ".join(r[1] for r in rows) + " 1, " + "bala" * 40
+    ((first, want),) = L.label_words([text], m)
+    monkeypatch.setattr(L, "PIECE", 100)
+    monkeypatch.setattr(L, "chunks", lambda ts: [(i, i + 1) for i in range(len(ts))])
+    (got,) = [g for f, g in L.label_words([text], m) if f.tolist() == first.tolist()]
+    assert np.abs(got - want).max() < 1e-4
+
+
+def test_samples_are_bounded(spark):
+    rows = [(7, "same" + "x" * (i % 50), "aa", None) for i in range(500)] + [(i, f"text {i}", f"l{i % 9}", None) for i in range(90)]
+    texts, langs = L.sample(spark.createDataFrame(rows, SCHEMA), L.F.lit(True), per_language=5, languages=4)
+    assert {g: langs.count(g) for g in langs} == {"aa": 5, "l0": 5, "l1": 5, "l2": 5} and len(texts) == 20
+
+
 def test_identify(spark):
     rows = corpus(300) + [(None, None, None, None), (900, "", "aa", None), (901, "12 34 !!", "aa", None), (902, "bala kala " * 30_000, None, "x"), (3, "bala", "aa", "x")]
     out = L.identify(spark.createDataFrame(rows, SCHEMA)).collect()
