@@ -5,6 +5,7 @@ Nothing here collects data that grows with the input to the driver.
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -18,15 +19,15 @@ _TABLES: dict[str, list[str]] = {}
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: `spark.checkpoint.dir` of the session.
 
-    Only where neither it nor the context has one (local tests) is a folder of our own made.
+    Where neither it nor the context has one, a folder of our own is made, but only if all run on this machine.
     """
-    found = spark.conf.get("spark.checkpoint.dir", None)
+    sc = spark.sparkContext
+    found = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not found:
-        sc = spark.sparkContext
+        if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoints-"))
         found = sc.getCheckpointDir()
-        if not found:
-            sc.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoints-"))
-            found = sc.getCheckpointDir()
     return found.rstrip("/")
 
 

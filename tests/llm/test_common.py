@@ -1,5 +1,6 @@
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from symgraph.llm import common as C
@@ -48,3 +49,16 @@ def test_written_and_released(spark):
 def test_row_key(spark):
     rows = spark.createDataFrame([(1, None), (1, ""), (None, "1"), (1, None)], "a long, b string").select(C.row_key("a", "b").alias("k"))
     assert rows.distinct().count() == 3
+
+
+def test_no_folder_of_one_machine_on_a_cluster(monkeypatch):
+    class Session:
+        class conf:
+            get = staticmethod(lambda name, default: None)
+
+        class sparkContext:
+            master = "spark://host:7077"
+            getCheckpointDir = staticmethod(lambda: None)
+
+    with pytest.raises(RuntimeError):
+        C.shared_dir(Session)
