@@ -11,10 +11,14 @@ Texts are scanned once; no row moves.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import warnings
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-ROUNDS, KEY = 8, "change this key"
+ROUNDS = 8
+#: The session's setting that holds the key, and a key that anyone can read here, for trials alone.
+SETTING, TRIAL_KEY = "spark.symgraph.pseudonym.key", "trial key, not secret"
 
 #: The forms that are looked for, in order of precedence.
 FORMS = {
@@ -164,13 +168,24 @@ def pseudonym(m: Column, key: str) -> Column:
     return out
 
 
-def pseudonymized(docs: DataFrame, key: str = KEY, found: str = "n_found", replaced: str = "n_replaced") -> DataFrame:
+def key_of(spark: SparkSession) -> str:
+    """The key in the session's setting; without one the trial key, with a warning: whoever reads this file can undo its pseudonyms."""
+    key = spark.conf.get(SETTING, None)
+    if not key:
+        warnings.warn(f"{SETTING} is not set: pseudonyms are made with a key that is no secret", stacklevel=2)
+    return key or TRIAL_KEY
+
+
+def pseudonymized(docs: DataFrame, key: str, found: str = "n_found", replaced: str = "n_replaced") -> DataFrame:
     """`docs` (text, any other columns) with valid personal data in `text` replaced by pseudonyms, and two columns
     more: how many places had one of the forms, and how many of them were valid and replaced.
 
     Null texts stay null with zeros; repeated rows give repeated results; an empty table gives no rows.
     Matches that fail their check stay. If columns named `found` or `replaced` are there already, they are replaced.
+    The `key` is the caller's secret; there is no default, and an empty one is refused.
     """
+    if not key:
+        raise ValueError("a key is needed")
     own = [c for c in docs.columns if c not in (found, replaced)]
     text = F.col("text").cast("string")
     matches = F.coalesce(F.regexp_extract_all(text, F.lit(ANY), F.lit(0)), F.array().cast("array<string>"))

@@ -11,7 +11,7 @@ from .decontam import leaks
 from .exact_dedup import exact_dedup
 from .lang_crf import identify
 from .packing import pack
-from .pii import pseudonymized
+from .pii import key_of, pseudonymized
 from .simhash import near_groups
 from .suffix_dedup import suffix_dedup
 from .toxicity import score
@@ -57,7 +57,7 @@ def op8_toxicity_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pseudonymized(_table(spark, sf_dir, "documents")).select("doc_id", "text", "n_found", "n_replaced")
+    return pseudonymized(_table(spark, sf_dir, "documents"), key_of(spark)).select("doc_id", "text", "n_found", "n_replaced")
 
 
 def op10_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:

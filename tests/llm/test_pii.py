@@ -3,13 +3,16 @@ import hashlib
 import random
 import re
 
+import pytest
+
 from symgraph.llm import pii as P
 
 SCHEMA = "doc_id long, text string, n_found string, old string"
+KEY = "a key of the tests"
 
 
 def draw(kind, turn, place, other):
-    return int(hashlib.sha256("|".join([P.KEY, kind, str(turn), str(place), other]).encode()).hexdigest()[:8], 16)
+    return int(hashlib.sha256("|".join([KEY, kind, str(turn), str(place), other]).encode()).hexdigest()[:8], 16)
 
 
 def turn_char(c, by):
@@ -122,11 +125,11 @@ def test_matches_brute_force(spark):
         parts = rng.sample(values(rng), rng.randint(0, 6))
         rows.append((i, " ".join("wörd " * rng.randint(0, 3) + p + rng.choice(["", ".", ",\n", " "]) for p in parts), "clash", "x"))
     rows += [(90, None, None, None), (91, "", None, None), (92, "a" * 200_000 + " 4207051279108084", None, None), (92, "a" * 200_000 + " 4207051279108084", None, None), (None, values(rng)[0], None, None)]
-    out = P.pseudonymized(spark.createDataFrame(rows, SCHEMA))
+    out = P.pseudonymized(spark.createDataFrame(rows, SCHEMA), KEY)
     assert out.columns == ["doc_id", "text", "old", "n_found", "n_replaced"]
     want = sorted(str((d, *(rewritten(t) if t is not None else (None, 0, 0)))) for d, t, *_ in rows)
     assert sorted(str((r.doc_id, r.text, r.n_found, r.n_replaced)) for r in out.collect()) == want
-    assert P.pseudonymized(spark.createDataFrame([], SCHEMA)).collect() == []
+    assert P.pseudonymized(spark.createDataFrame([], SCHEMA), KEY).collect() == []
 
 
 def test_pseudonyms_keep_the_form_and_stay_apart():
@@ -139,3 +142,15 @@ def test_pseudonyms_keep_the_form_and_stay_apart():
     days = {(datetime.date(1900, 1, 1) + datetime.timedelta(d)).isoformat() for d in range(0, P.DAYS, 97)}
     assert len({plain(d) for d in days}) == len(days)
     assert plain("4207 0512 7910 8084").replace(" ", "") == plain("4207051279108084")
+
+
+def test_the_key_is_the_callers(spark):
+    df = spark.createDataFrame([(1, "card 4111 1111 1111 1111", None, None)], SCHEMA)
+    with pytest.raises(ValueError):
+        P.pseudonymized(df, "")
+    assert P.pseudonymized(df, "a").first().text != P.pseudonymized(df, "b").first().text
+    with pytest.warns(UserWarning):
+        assert P.key_of(spark) == P.TRIAL_KEY
+    spark.conf.set(P.SETTING, "secret")
+    assert P.key_of(spark) == "secret"
+    spark.conf.unset(P.SETTING)
