@@ -9,7 +9,9 @@ compared. Text is read once and never shuffled; what moves is eight to forty byt
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import text_or_empty, written
@@ -22,10 +24,10 @@ def chunk_pattern(least: int = LEAST, greatest: int = GREATEST) -> str:
     return rf"(?s).{{{least}}}.{{0,{greatest - least}}}?(?<=[.!?;:\n])|.{{1,{greatest}}}"
 
 
-def recipes(docs: DataFrame, least: int = LEAST, greatest: int = GREATEST) -> DataFrame:
+def recipes(docs: DataFrame, least: int = LEAST, greatest: int = GREATEST, identify: Callable[[Column], Column] = F.xxhash64) -> DataFrame:
     """(doc_id, n_bytes, sha, chunks): one row per row of `docs`; null text counts as empty, which has no chunk."""
     t = docs.select("doc_id", text_or_empty().alias("t"))
-    one = lambda c: F.struct(F.xxhash64(c).alias("h"), F.unhex(F.sha2(c, 256)).alias("d"))
+    one = lambda c: F.struct(identify(c).alias("h"), F.unhex(F.sha2(c, 256)).alias("d"))
     return t.select(
         "doc_id",
         F.octet_length("t").cast("long").alias("n_bytes"),
@@ -34,14 +36,14 @@ def recipes(docs: DataFrame, least: int = LEAST, greatest: int = GREATEST) -> Da
     )
 
 
-def exact_dedup(docs: DataFrame, least: int = LEAST, greatest: int = GREATEST) -> DataFrame:
+def exact_dedup(docs: DataFrame, least: int = LEAST, greatest: int = GREATEST, identify: Callable[[Column], Column] = F.xxhash64) -> DataFrame:
     """One row per row of `docs` (doc_id, text): doc_id, keep_id, group_size, kept, text_sha256.
 
     Texts are equal when identical; null counts as empty. The row with the largest doc_id stays. Rows that
     repeat both doc_id and text count in group_size and share its fate (they cannot be told apart); a null
-    doc_id stays only where its group has no other. Empty tables give no rows; other columns are ignored.
+    doc_id stays only where its group has no other. `identify` makes the identifier of a chunk, a long. Empty tables give no rows; other columns are ignored.
     """
-    made = written(recipes(docs, least, greatest), "recipes")
+    made = written(recipes(docs, least, greatest, identify), "recipes")
     known = made.select(F.explode("chunks").alias("c")).select("c.h", "c.d").distinct()
     doubtful = written(known.groupBy("h").count().where("count > 1").select("h"), "doubtful")
     doubted = made.select("sha", F.explode("chunks.h").alias("h")).join(doubtful, "h", "left_semi").select("sha").distinct()
