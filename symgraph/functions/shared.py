@@ -2,23 +2,39 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Tables written by `materialized` and not yet released, by application.
+_TABLES: dict[str, list[str]] = {}
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """`spark.checkpoint.dir` of the session; a folder of our own only where none is set."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    """`spark.checkpoint.dir` of the session; a folder of our own only where none is set and all run on this machine."""
+    sc = spark.sparkContext
+    found = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not found:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoints-"))
-        found = spark.sparkContext.getCheckpointDir()
+        if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoints-"))
+        found = sc.getCheckpointDir()
     return found.rstrip("/")
 
 
 def materialized(df: DataFrame, name: str = "step") -> DataFrame:
     """`df` written once and read back: later steps have no lineage to recompute and lost executors cost nothing."""
     path = f"{shared_dir(df.sparkSession)}/graph/{name}-{uuid.uuid4().hex}"
+    _TABLES.setdefault(df.sparkSession.sparkContext.applicationId, []).append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession) -> None:
+    """Delete the tables that `materialized` has written: for a caller that has stored or shown its results."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for path in _TABLES.pop(spark.sparkContext.applicationId, []):
+        where = jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(conf).delete(where, True)

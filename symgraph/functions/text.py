@@ -34,8 +34,16 @@ PLAN_WORDS = {
 # Source languages by file extension.
 LANGUAGES = {"ts": "typescript", "tsx": "tsx", "js": "javascript", "jsx": "jsx", "py": "python", "java": "java", "html": "html"}
 
+# Words that are no anchors in a flow request.
+FLOW_STOPWORDS = set(
+    """the a an and or of to in on for with how does do did is are was were be been being flow data across through from into onto between via
+    work works working file files use uses used using get gets set sets make makes made why what when where which who this that these those it its we you they them i
+    can could should would will shall may might must way ways thing things code about over under out up down off then else so than as at by but if not all any each""".split()
+)
+# Patterns of test files (coverage), of files that rank low in discovery, and of those that rank low among anchors.
 TEST_FILE = r"/tests?/|\.(test|spec)\.[a-z]+$|(^|/)test_[^/]*\.py$|_test\.py$"
 PERIPHERAL_FILE = r"(^|/)(tests?|__tests__|specs?|fixtures?|mocks?|examples?)/|scratch|[.\-_](test|spec)[.\-_][^/]*$|(^|/)(test|spec)[.\-_][^/]*$"
+ANCHOR_PERIPHERAL = r"(^|/)(tests?|scratch)(/|$)|\.(test|spec)\.[a-z]+$|^scratch"
 
 
 def words(query: str) -> list[str]:
@@ -94,6 +102,10 @@ def is_peripheral(path: Column) -> Column:
     return F.lower(F.replace(path, F.lit("\\"), F.lit("/"))).rlike(PERIPHERAL_FILE)
 
 
+def is_peripheral_anchor(path: Column) -> Column:
+    return F.lower(F.replace(path, F.lit("\\"), F.lit("/"))).rlike(ANCHOR_PERIPHERAL)
+
+
 def language_of(path: Column) -> Column:
     ext = F.lower(F.regexp_extract(path, r"\.([^./]+)$", 1))
     out = F.when(F.lit(False), F.lit(None).cast("string"))

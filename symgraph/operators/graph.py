@@ -63,6 +63,14 @@ def find_by_name(nodes: DataFrame, name: str) -> DataFrame:
     return nodes.where(F.col("name") == name)
 
 
+def find_by_qualified_name(nodes: DataFrame, name: str) -> DataFrame:
+    return nodes.where(F.col("qualified_name") == name)
+
+
+def get_node(nodes: DataFrame, node: str) -> DataFrame:
+    return nodes.where(F.col("id") == node)
+
+
 def parent_chain(edges: DataFrame, start: str, kind: str = "inherit", most: int = 100) -> DataFrame:
     """(depth, id): the first parent, its first parent, and so on, until there is none or one comes again.
 

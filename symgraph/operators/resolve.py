@@ -31,7 +31,6 @@ console log error warn info dir Math Date JSON Map Set Promise Object Array Stri
 encodeURIComponent decodeURIComponent""".split()
 NATIVE = "console print len range str int dict list set true false".split()
 TYPES = ["class", "interface"]
-HOPS = 8
 
 
 def category(path: Column) -> Column:
@@ -142,17 +141,20 @@ def resolve_types(symbols: DataFrame, wanted: DataFrame, bindings: DataFrame) ->
     return rows.groupBy("file_path", "type").agg(F.min_by("target", F.struct("priority", "target")).alias("target"))
 
 
-def enclosing_class(symbols: DataFrame, containments: DataFrame, ids: DataFrame, most: int = 12) -> DataFrame:
-    """(id, class_id): the nearest class, interface or struct that contains each of `ids` (id)."""
+def enclosing_class(symbols: DataFrame, containments: DataFrame, ids: DataFrame) -> DataFrame:
+    """(id, class_id): the nearest class, interface or struct that contains each of `ids` (id), at any height."""
     parent = containments.where(F.col("kind").isin("owns", "has_member")).groupBy(F.col("child_id").alias("cur")).agg(F.min_by("parent_id", "seq").alias("up"))
     kinds = symbols.select(F.col("id").alias("up"), (F.col("kind").isin("class", "interface", "struct")).alias("is_class"))
     parent = materialized(parent.join(kinds, "up", "left"), "parents")
     at, out = ids.select("id", F.col("id").alias("cur")), None
-    for _ in range(most):
+    seen = at
+    while True:
         step = materialized(at.join(parent, "cur"), "up")
         hit = step.where("is_class").select("id", F.col("up").alias("class_id"))
         out = hit if out is None else out.unionByName(hit)
-        at = step.where("not coalesce(is_class, false)").select("id", F.col("up").alias("cur"))
+        # what contains itself is come to once
+        at = step.where("not coalesce(is_class, false)").select("id", F.col("up").alias("cur")).join(seen, ["id", "cur"], "left_anti")
+        seen = seen.unionByName(at)
         if at.isEmpty():
             break
     return out
@@ -172,7 +174,7 @@ def follow(bases: DataFrame, symbols: DataFrame, containments: DataFrame, types:
     variables = materialized(variables.where("type_id is null or type_id <> cur"), "variables")
     done = bases.where(F.col("hop") >= F.size("chain"))
     live, rest = materialized(bases.where(F.col("hop") < F.size("chain")), "chains"), bases.columns
-    for _ in range(HOPS):
+    while not live.isEmpty():  # a hop a level, up to the longest chain
         at = live.withColumn("member", F.get("chain", F.col("hop")))
         at = at.join(child, ["cur", "member"], "left").join(variables, "cur", "left")
         typed = child.select(F.col("cur").alias("type_id"), "member", F.col("next").alias("typed"))
@@ -184,8 +186,6 @@ def follow(bases: DataFrame, symbols: DataFrame, containments: DataFrame, types:
         step = materialized(step.select(*rest), "hop")
         done = done.unionByName(step.where(F.col("hop") >= F.size("chain")))
         live = step.where(F.col("hop") < F.size("chain"))
-        if live.isEmpty():
-            break
     return done
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from symgraph.functions.shared import materialized
-from symgraph.functions.text import WEAK_TERMS, endpoint_key, is_peripheral, prefix_ladder, stem, terms
+from symgraph.functions.text import WEAK_TERMS, endpoint_key, is_peripheral, is_peripheral_anchor, prefix_ladder, stem, terms, words
 
 # Kinds that count as definitions; points of each channel; limits of the typo fallback.
 DEFINITION_KINDS = ["class", "interface", "struct", "function", "method", "type_alias", "enum"]
@@ -26,6 +26,8 @@ def prepared(nodes: DataFrame) -> DataFrame:
     out = nodes
     if "qualified_name" not in out.columns:
         out = out.withColumn("qualified_name", F.col("name"))
+    if "exported" not in out.columns:
+        out = out.withColumn("exported", F.lit(True))
     if "is_service" not in out.columns:
         out = out.withColumn("is_service", F.lit(False))
     for c in ("name", "qualified_name", "file_path"):
@@ -72,11 +74,15 @@ def trigram_match(nodes: DataFrame, index: DataFrame, token: str, column: str =
     return match(nodes.join(ids, "id", "left_semi"), column, token)
 
 
+def endpoints(nodes: DataFrame, order: Column) -> DataFrame:
+    """(endpoint, id): for each method and path the handler registered last."""
+    rows = nodes.where(F.col("api_method").isNotNull())
+    return rows.groupBy(endpoint_key(F.col("api_method"), F.col("api_path")).alias("endpoint")).agg(F.max_by("id", order).alias("id"))
+
+
 def endpoint(nodes: DataFrame, method: str, path: str, order: Column) -> DataFrame:
     """The handler registered last for a method and path."""
-    key = f"{method.upper()} {path}"
-    found = nodes.where(endpoint_key(F.col("api_method"), F.col("api_path")) == key)
-    return found.groupBy(F.lit(key).alias("endpoint")).agg(F.max_by("id", order).alias("id"))
+    return endpoints(nodes, order).where(F.col("endpoint") == f"{method.upper()} {path}")
 
 
 def services(nodes: DataFrame) -> DataFrame:
@@ -174,8 +180,8 @@ def resolve_anchor(nodes: DataFrame, spec: str) -> tuple[str, list[str]]:
     nodes = prepared(nodes)
     low = spec.lower()
     stage = F.when(F.col("id") == spec, 0).when(F.col("qualified_name_lower") == low, 1).when((F.col("name_lower") == low) & F.col("kind").isin(DEFINITION_KINDS), 2)
-    hits = nodes.select("id", "name", "qualified_name", "file_path", stage.alias("stage")).where("stage is not null")
-    rows = hits.orderBy("stage", is_peripheral(F.col("file_path")), F.length("qualified_name"), "id").limit(50).collect()
+    hits = nodes.select("id", "name", "qualified_name", "file_path", "exported", stage.alias("stage")).where("stage is not null")
+    rows = hits.orderBy("stage", is_peripheral_anchor(F.col("file_path")), F.coalesce("exported", F.lit(False)).desc(), F.length("qualified_name"), "id").limit(50).collect()
     if rows:
         best = [r.id for r in rows if r.stage == rows[0].stage]
         return ("resolved", best) if len(best) == 1 else ("ambiguous", best[:10])
@@ -210,19 +216,30 @@ def resolve_all(nodes: DataFrame, specs: list[str], tolerate_missing: bool = Tru
 
 
 def free_form(nodes: DataFrame, query: str, most: int = 8) -> tuple[list[str], list[str]]:
-    """(ids, unmatched terms): anchors for a whole question: candidates near the best, at most three a file, two files, eight in all."""
+    """(ids, unmatched terms): anchors for a whole question: what its words that look like identifiers name exactly, which always
+    stay, then candidates near the best, at most three a file, two files, eight in all."""
+    chosen, per_file, files, exact = [], {}, 0, set()
+    for spec in (w for w in words(query) if re.search(r"[A-Z_/]", w)):
+        kind, ids = resolve_anchor(nodes, spec)
+        for i in ids if kind == "resolved" else []:
+            exact.add(spec.lower())
+            if i not in chosen and len(chosen) < most:
+                chosen.append(i)
+    if chosen:
+        for r in nodes.where(F.col("id").isin(chosen)).select("file_path", "kind").collect():
+            per_file[r.file_path] = per_file.get(r.file_path, 0) + 1
+            files += r.kind == "file"
     rows = discover(nodes, query, 40).collect()
-    if not rows:
-        return [], terms(query)[0]
-    floor = max(0.4 * rows[0].score, 5)
-    chosen, per_file, files = [], {}, 0
+    floor = max(0.4 * rows[0].score, 5) if rows else 0
     for r in [r for r in rows if r.score >= floor] or rows[:1]:
+        if r.id in chosen:
+            continue
         if per_file.get(r.file_path, 0) >= 3 or (r.kind == "file" and files >= 2) or len(chosen) >= most:
             continue
         per_file[r.file_path] = per_file.get(r.file_path, 0) + 1
         files += r.kind == "file"
         chosen.append(r.id)
-    matched = {t for r in rows for t in r.tokens}
+    matched = {t for r in rows for t in r.tokens} | exact
     return chosen, [t for t in terms(query)[0] if t.lower() not in matched]
 
 

@@ -9,8 +9,9 @@ which makes a level's windows give what a queue would.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from itertools import count
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from symgraph.functions.shared import materialized
@@ -50,15 +51,17 @@ def steps(edges: DataFrame, direction: str) -> DataFrame:
     return {"outgoing": out, "incoming": into}.get(direction) if direction != "both" else out.unionByName(into)
 
 
-def distances(edges: DataFrame, roots: DataFrame, depth: int, direction: str = "outgoing", kinds: list[str] | None = None) -> DataFrame:
+def distances(edges: DataFrame, roots: DataFrame, depth: int | None, direction: str = "outgoing", kinds: list[str] | None = None) -> DataFrame:
     """(root, id, depth, via): least distance from each root (0 for itself), and the least kind of an edge that
-    reaches it at that distance. No caps; `roots` has (root, id)."""
-    # order doesn't matter here, so parallel edges are one: the join's output is bounded by distinct neighbours
-    e = steps(of_kinds(edges, kinds), direction).groupBy("id", "nbr").agg(F.min("kind").alias("kind"))
-    e = materialized(e, "steps")
+    reaches it at that distance. No caps; `roots` has (root, id); without a `depth` levels go on until one is empty.
+
+    A level starts from its frontier, a stored table of known size: a small one is broadcast to the edges, which then stay
+    where they are, and a large one is joined by shuffle. The edges are never aggregated or copied as a whole.
+    """
+    e = steps(of_kinds(edges, kinds), direction).select("id", "nbr", "kind")
     frontier = roots.select("root", "id").distinct().select("root", "id", F.lit(0).cast("long").alias("depth"), F.lit(None).cast("string").alias("via"))
     found = frontier = materialized(frontier, "level0")
-    for level in range(1, depth + 1):
+    for level in count(1) if depth is None else range(1, depth + 1):
         reached = frontier.select("root", "id").join(e, "id").groupBy("root", F.col("nbr").alias("id")).agg(F.min("kind").alias("via"))
         new = reached.join(found.select("root", "id"), ["root", "id"], "left_anti").select("root", "id", F.lit(level).cast("long").alias("depth"), "via")
         if level == depth:
@@ -143,28 +146,38 @@ def shortest_paths(edges: DataFrame, pairs: DataFrame, depth: int, kinds: list[s
     """(source, target, nodes, kinds): all shortest outgoing paths of each pair (source, target), of `depth` steps at most.
 
     Parallel edges make paths of their own; no path meets a node twice; a pair of one node has the path of that
-    node. `most` keeps the first of each pair by node names. Pairs are one job; a level keeps a path
-    only while its end is at its least depth.
+    node. `most` keeps the first of each pair by node names. Pairs are one job. Distances are found from both ends, half the
+    depth each, so that only what lies on a shortest path becomes a path: halves from where the two meet, then joined.
     """
-    e = materialized(of_kinds(edges, kinds).select("src", "dst", "kind"), "path-edges")
-    at = pairs.select("source", "target").distinct().select("source", "target", F.array("source").alias("nodes"), F.array().cast("array<string>").alias("kinds"), F.col("source").alias("end"))
-    level0 = materialized(at, "paths0")
-    done = level0.where("end = target")
-    live = level0.where("end <> target")
-    seen = live.select("source", "target", "end")
-    for level in range(1, depth + 1):
-        step = live.join(e, F.col("end") == F.col("src")).where(~F.array_contains("nodes", F.col("dst")))
-        step = step.select("source", "target", F.concat("nodes", F.array("dst")).alias("nodes"), F.concat("kinds", F.array("kind")).alias("kinds"), F.col("dst").alias("end"))
-        step = materialized(step.join(seen, ["source", "target", "end"], "left_anti"), f"paths{level}")
-        hit = step.where("end = target")
-        done = done.unionByName(hit.select(*done.columns))
-        # a pair that is reached has all its shortest paths
-        live = step.where("end <> target").join(hit.select("source", "target").distinct(), ["source", "target"], "left_anti").select(*at.columns)
-        if level == depth or live.isEmpty():
-            break
-        live = materialized(live, "live")
-        seen = seen.unionByName(live.select("source", "target", "end").distinct())
-    out = done.select("source", "target", "nodes", "kinds")
+    e = of_kinds(edges, kinds).select("src", "dst", "kind")
+    pairs = materialized(pairs.select("source", "target").distinct(), "pairs")
+    half = -(-depth // 2)
+    ends = lambda c: pairs.select(F.col(c).alias("root"), F.col(c).alias("id")).distinct()
+    ahead = materialized(distances(edges, ends("source"), half, "outgoing", kinds).select(F.col("root").alias("source"), F.col("id").alias("mid"), F.col("depth").alias("a")), "ahead")
+    back = materialized(distances(edges, ends("target"), depth - half, "incoming", kinds).select(F.col("root").alias("target"), F.col("id").alias("mid"), F.col("depth").alias("b")), "back")
+    met = pairs.join(ahead, "source").join(back, ["target", "mid"])
+    least = met.groupBy("source", "target").agg(F.min(F.col("a") + F.col("b")).alias("n"))
+    # a path of n steps meets in one node: the last that the source's half can reach
+    met = met.join(least, ["source", "target"]).where((F.col("a") + F.col("b") == F.col("n")) & (F.col("a") == F.least(F.col("n"), F.lit(half))))
+    met = materialized(met.select("source", "target", "mid", "a", "b"), "met")
+
+    def halves(root: str, near: str, far: str, labels: DataFrame, n: str, size: int, forward: bool) -> DataFrame:
+        """(root, mid, nodes, kinds) from `mid` towards the root, against the labels; the nearer node first in order of the path."""
+        at = met.select(root, "mid", F.col("mid").alias("end"), F.col(n).alias("left"), F.array("mid").alias("nodes"), F.array().cast("array<string>").alias("kinds")).distinct()
+        done, live = at.where("left = 0"), at.where("left > 0")
+        to = labels.select(root, F.col("mid").alias("to"), F.col(n).alias("at"))
+        for level in range(size):
+            step = live.join(e.select(F.col(near).alias("to"), F.col(far).alias("end"), "kind"), "end").join(to, [root, "to"]).where(F.col("at") == F.col("left") - 1)
+            grown = (lambda a, b: F.concat(b, F.array(a))) if forward else (lambda a, b: F.concat(F.array(a), b))
+            step = step.select(root, "mid", F.col("to").alias("end"), (F.col("left") - 1).alias("left"), grown(F.col("to"), F.col("nodes")).alias("nodes"), grown(F.col("kind"), F.col("kinds")).alias("kinds"))
+            step = materialized(step, f"paths{level}")
+            done, live = done.unionByName(step.where("left = 0")), step.where("left > 0")
+        return done.select(root, "mid", "nodes", "kinds")
+
+    first = halves("source", "src", "dst", ahead, "a", half, False)
+    last = halves("target", "dst", "src", back, "b", depth - half, True).select("target", "mid", F.col("nodes").alias("nodes2"), F.col("kinds").alias("kinds2"))
+    out = met.select("source", "target", "mid").join(first, ["source", "mid"]).join(last, ["target", "mid"])
+    out = out.select("source", "target", F.concat("nodes", F.slice("nodes2", F.lit(2), F.size("nodes2"))).alias("nodes"), F.concat("kinds", "kinds2").alias("kinds"))
     if most is not None:
         nth = F.row_number().over(Window.partitionBy("source", "target").orderBy(F.array_join("nodes", ">"), F.array_join("kinds", ">")))
         out = out.withColumn("nth", nth).where(F.col("nth") <= min(most, MOST_PATHS)).drop("nth")
@@ -200,15 +213,21 @@ def expand(edges: DataFrame, roots: DataFrame, preset: str) -> DataFrame:
 PRESET_NODES = {"locate": 50, "flow": 70, "impact": 60}
 
 
-def blast_radius(nodes: DataFrame, edges: DataFrame, anchors: DataFrame, tested: Column | None = None) -> DataFrame:
-    """(id, n_refs, n_files, files): for each anchor (id) its incoming references, and the files they come from, the first three by name."""
+def blast_radius(nodes: DataFrame, edges: DataFrame, anchors: DataFrame, tested: DataFrame | None = None) -> DataFrame:
+    """(id, n_refs, n_files, files): for each anchor (id) its incoming references, and the files they come from, the first three
+    by name; with `tested` (id) also `untested`: whether it is of a kind that tests refer to and none does."""
     refs = edges.where(F.col("kind").isin(REFERENCE_KINDS)).join(anchors.select(F.col("id").alias("dst")), "dst", "left_semi")
-    at = refs.join(nodes.select(F.col("id").alias("src"), "file_path"), "src")
-    files = F.array_sort(F.collect_set("file_path"))
-    out = at.groupBy(F.col("dst").alias("id")).agg(F.count("*").alias("n_refs"), F.size(files).cast("long").alias("n_files"), F.array_join(F.slice(files, 1, 3), ",").alias("files"))
-    return anchors.select("id").join(out, "id", "left").fillna({"n_refs": 0, "n_files": 0, "files": ""})
-
-
-def descendants(edges: DataFrame, roots: DataFrame, depth: int = MOST_DEPTH) -> DataFrame:
+    at = refs.join(nodes.select(F.col("id").alias("src"), "file_path"), "src").groupBy(F.col("dst").alias("id"), "file_path").agg(F.count("*").alias("n"))
+    total = at.groupBy("id").agg(F.sum("n").alias("n_refs"), F.count("*").alias("n_files"))
+    three = at.withColumn("nth", F.row_number().over(Window.partitionBy("id").orderBy("file_path"))).where("nth <= 3")
+    three = three.groupBy("id").agg(F.array_join(F.array_sort(F.collect_list("file_path")), ",").alias("files"))
+    out = anchors.select("id").join(total.join(three, "id"), "id", "left").fillna({"n_refs": 0, "n_files": 0, "files": ""})
+    if tested is None:
+        return out
+    bare = nodes.where(F.col("kind").isin("function", "method", "class", "interface")).join(anchors.select("id"), "id", "left_semi").select("id").join(tested.select("id"), "id", "left_anti")
+    return out.join(bare.select("id", F.lit(True).alias("untested")), "id", "left").fillna({"untested": False})
+
+
+def descendants(edges: DataFrame, roots: DataFrame, depth: int | None = None) -> DataFrame:
     """(root, id, depth): all that the roots contain, themselves included."""
     return distances(edges, roots, depth, "outgoing", STRUCTURE_KINDS).drop("via")

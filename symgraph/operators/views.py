@@ -26,13 +26,13 @@ def module(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return both.where("from_file <> to_file").select("from_file", "to_file").distinct()
 
 
-def owners(edges: DataFrame, roots: DataFrame, depth: int = 6) -> DataFrame:
+def owners(edges: DataFrame, roots: DataFrame, depth: int | None = None) -> DataFrame:
     """(id, root): for each contained node its nearest container among `roots` (id); ties to the lesser one."""
     found = distances(edges, roots.select(F.col("id").alias("root"), "id"), depth, "outgoing", STRUCTURE_KINDS)
     return found.groupBy("id").agg(F.min_by("root", F.struct("depth", "root")).alias("root"))
 
 
-def service(edges: DataFrame, roots: DataFrame, depth: int = 6) -> DataFrame:
+def service(edges: DataFrame, roots: DataFrame, depth: int | None = None) -> DataFrame:
     """(from_service, to_service): references between contents of services, rolled up and distinct."""
     up = materialized(owners(edges, roots, depth), "owners")
     refs = edges.where(F.col("kind").isin(REFERENCE_KINDS)).select("src", "dst").distinct()
@@ -65,7 +65,7 @@ def flow_trace(edges: DataFrame, start: str, depth: int = 4, roll_up: DataFrame
     refs = materialized(refs, "refs")
     holds = edges.where(F.col("kind").isin(STRUCTURE_KINDS))
     root = spark.createDataFrame([(start, start)], "root string, id string")
-    at = distances(holds, root, 6, "outgoing").select("id", F.lit(start).alias("from_id"))
+    at = distances(holds, root, None, "outgoing").select("id", F.lit(start).alias("from_id"))
     out = None
     for level in range(1, depth + 1):
         step = materialized(at.join(refs, F.col("id") == F.col("src")).select(F.lit(level).cast("long").alias("level"), "from_id", "to_id").where("from_id <> to_id").distinct(), f"trace{level}")
@@ -89,7 +89,7 @@ def filtered(nodes: DataFrame, edges: DataFrame, search: str | None = None, kind
         ends = edges.where((F.col("src") == near) | (F.col("dst") == near)).select(F.explode(F.array("src", "dst")).alias("id")).distinct()
         out = out.join(ends, "id", "left_semi")
     shown = materialized(out.select("id"), "shown")
-    holds = distances(edges, shown.select(F.col("id").alias("root"), "id"), 6, "incoming", STRUCTURE_KINDS).select("id").distinct()
+    holds = distances(edges, shown.select(F.col("id").alias("root"), "id"), None, "incoming", STRUCTURE_KINDS).select("id").distinct()
     return nodes.join(shown.unionByName(holds).distinct(), "id", "left_semi")
 
 

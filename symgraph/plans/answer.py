@@ -229,8 +229,8 @@ def answer(project: Project, plan: QueryPlan) -> Answer:
             parts += ["### Call paths", *[f"- {r.p}" for r in flows], ""]
     if plan.flow:
         known = project.spark.createDataFrame([(a,) for a in anchors], "id string")
-        for r in V.blast_radius(project.nodes, project.edges, known).orderBy("id").collect():
-            parts.append(f"- `{r.id}` is referred to {r.n_refs} times from {r.n_files} files" + (f": {r.files}" if r.files else ""))
+        for r in V.blast_radius(project.nodes, project.edges, known, G.test_covered(project.nodes, project.edges)).orderBy("id").collect():
+            parts.append(f"- `{r.id}` is referred to {r.n_refs} times from {r.n_files} files" + (f": {r.files}" if r.files else "") + ("; no test refers to it" if r.untested else ""))
     parts.append(serialized(plan, anchors, nodes, edges, notes, levels))
     if project.unresolved is not None:
         mine = project.unresolved.where(F.col("from_symbol_id").isin(anchors))

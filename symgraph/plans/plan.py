@@ -6,10 +6,9 @@ import re
 from dataclasses import dataclass, field
 from typing import Any
 
-from symgraph.functions.text import HARD_STOPWORDS
+from symgraph.functions.text import FLOW_STOPWORDS
 
-# Words that are no anchors in a flow request, beside the hard stopwords.
-FLOW_WORDS = set("flow data across through between file files use uses used using gets sets makes made code out".split())
+MOST_ANCHORS = 8
 OPERATIONS, DIRECTIONS = ("region", "path", "impact"), ("incoming", "outgoing", "both")
 
 
@@ -38,7 +37,7 @@ def looks_like_anchor(token: str) -> bool:
         return False
     if re.search(r"[A-Z._/]", token):
         return True
-    return bool(re.fullmatch(r"[a-z]+", token)) and token not in HARD_STOPWORDS and token not in FLOW_WORDS
+    return bool(re.fullmatch(r"[a-z]+", token)) and token not in FLOW_STOPWORDS
 
 
 def search_symbols(query: str, **more: Any) -> QueryPlan:
@@ -59,8 +58,8 @@ def analyze_impact(symbol: str, depth: int = 3, **more: Any) -> QueryPlan:
 
 def explore_flow(query: str, **more: Any) -> QueryPlan:
     """The terms of the text that look like symbols, eight at most, and their surroundings."""
-    seen = list(dict.fromkeys(t for t in re.split(r"[^\w./]+", query) if looks_like_anchor(t.strip("."))))
-    return QueryPlan("region", tuple(t.strip(".") for t in seen[:8]), depth=1, direction="both", flow=True, tolerate_missing=True, **more)
+    tokens = (t.rstrip("?!,;:()\"'").lstrip("\"'(") for t in query.split())
+    return QueryPlan("region", tuple(t for t in tokens if looks_like_anchor(t))[:MOST_ANCHORS], depth=1, direction="both", flow=True, tolerate_missing=True, **more)
 
 
 def explore(query: str, **more: Any) -> QueryPlan:

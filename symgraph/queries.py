@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from symgraph import star
+from symgraph import code, star
 from symgraph.functions import text as T
 from symgraph.functions.shared import shared_dir
 from symgraph.operators import evidence as E
@@ -16,6 +16,7 @@ from symgraph.operators import graph as G
 from symgraph.operators import search as S
 from symgraph.operators import traverse as V
 from symgraph.operators import views as W
+from symgraph.sources.extract import build
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -85,7 +86,7 @@ def incoming_edges(spark, d):
 
 @query("SELECT id, kind, name, file_path FROM sg_nodes WHERE id = 'n:3'")
 def get_node(spark, d):
-    return star.nodes(spark, d).where(F.col("id") == "n:3")
+    return G.get_node(star.nodes(spark, d), "n:3")
 
 
 @query(
@@ -138,14 +139,8 @@ def unresolved_summary(spark, d):
     return G.unresolved_by_symbol(refs, star.table(spark, d, "part").where("p_size < 25"), "p_partkey")
 
 
-@query("SELECT dst AS id, kind, string_agg(DISTINCT src, ',' ORDER BY src) AS sources FROM sg_edges WHERE kind = 'owns' GROUP BY dst, kind")
-def reverse_index(spark, d):
-    return S.incoming_index(star.edges(spark, d).where("kind = 'owns'")).select("id", "kind", F.array_join("sources", ",").alias("sources"))
-
-
 @query("SELECT dst AS id, kind, string_agg(DISTINCT src, ',' ORDER BY src) AS sources FROM sg_edges GROUP BY dst, kind")
-def reverse_index_all(spark, d):
-    """As reverse_index, over edges of every kind."""
+def reverse_index(spark, d):
     return S.incoming_index(star.edges(spark, d)).select("id", "kind", F.array_join("sources", ",").alias("sources"))
 
 
@@ -294,7 +289,7 @@ def path_substring(spark, d):
 )
 def endpoint_lookup(spark, d):
     e = star.table(spark, d, "events").select("event_id", F.col("event_type").alias("api_method"), F.get_json_object("props", "$.k").alias("api_path"))
-    return e.groupBy(T.endpoint_key(F.col("api_method"), F.col("api_path")).alias("endpoint")).agg(F.max_by("event_id", "event_id").alias("id"))
+    return S.endpoints(e.withColumnRenamed("event_id", "id"), F.col("id"))
 
 
 @query("SELECT id, name FROM sg_nodes WHERE kind = 'class' AND (name LIKE '%7' OR name LIKE '%Service')")
@@ -345,20 +340,16 @@ def discover_fuzzy(spark, d):
 
 
 @query(
-    """WITH q(spec) AS (VALUES ('s:1'), ('Supplier#000000002'), ('widget'), ('zzzz')),
-    m AS (SELECT spec, id, CASE WHEN id = spec THEN 0 WHEN lower(name) = lower(spec) THEN 1 WHEN contains(lower(name), lower(spec)) THEN 2 END AS stage FROM q JOIN sg_nodes ON true)
-    SELECT spec, min(stage)::BIGINT AS stage, min(id) AS first_id, count(*) AS n FROM m WHERE stage IS NOT NULL AND stage = (SELECT min(stage) FROM m x WHERE x.spec = m.spec) GROUP BY spec"""
+    """WITH q(spec) AS (SELECT unnest(['s:1', 'supplier#000000002', 'zzzz', (SELECT min(lower(name)) FROM sg_nodes WHERE kind = 'function')])),
+    m AS (SELECT spec, id, CASE WHEN id = spec THEN 0 ELSE 1 END AS stage FROM q JOIN sg_nodes ON id = spec OR lower(name) = spec),
+    b AS (SELECT spec, count(*) AS n, min(id) AS first_id FROM m WHERE stage = (SELECT min(stage) FROM m x WHERE x.spec = m.spec) GROUP BY spec)
+    SELECT q.spec, CASE WHEN n IS NULL THEN 'not_found' WHEN n = 1 THEN 'resolved' ELSE 'ambiguous' END AS status, coalesce(CASE WHEN n > 10 THEN 10 ELSE n END, 0) AS n, first_id FROM q LEFT JOIN b USING (spec)"""
 )
 def anchor_waterfall(spark, d):
-    nodes, out = _searched(spark, d), None
-    for spec in ("s:1", "Supplier#000000002", "widget", "zzzz"):
-        low = spec.lower()
-        stage = F.when(F.col("id") == spec, 0).when(F.col("name_lower") == low, 1).when(F.col("name_lower").contains(low), 2)
-        one = nodes.select(F.lit(spec).alias("spec"), "id", stage.alias("stage")).where("stage is not null")
-        out = one if out is None else out.unionByName(one)
-    by = out.groupBy("spec", "stage").agg(F.min("id").alias("first_id"), F.count("*").alias("n"))
-    best = by.groupBy("spec").agg(F.min(F.struct("stage", "first_id", "n")).alias("m"))
-    return best.select("spec", F.col("m.stage").cast("long").alias("stage"), "m.first_id", "m.n")
+    nodes = star.nodes(spark, d)
+    first = nodes.where("kind = 'function'").agg(F.min(F.lower("name"))).first()[0]
+    rows = [(spec, *S.resolve_anchor(nodes, spec)) for spec in ("s:1", "supplier#000000002", "zzzz", first)]
+    return spark.createDataFrame([(spec, status, len(ids), min(ids, default=None)) for spec, status, ids in rows], "spec string, status string, n long, first_id string")
 
 
 def _count(kind: str) -> str:
@@ -464,6 +455,105 @@ def method_confidence(spark, d):
     return star.edges(spark, d).groupBy("method", tag.alias("confidence")).agg(F.count("*").alias("n"))
 
 
+# --- extraction and resolution, over the tables as a program (symgraph/code.py)
+
+_P, _W, _J = ("'{0}' || s_nationkey || '/{1}' || s_suppkey || '{2}'".format(*x) for x in (("n", "s", ".py"), ("web/n", "w", ".ts"), ("java/n", "J", ".java")))
+_BASE, _ITEM, _REPO = "'n' || {n} || '/base.py'", "'web/n' || {n} || '/item.ts'", "'java/n' || {n} || '/Repo' || {n} || '.java'"
+_OF = f"""WITH f AS (SELECT s_suppkey AS s, s_nationkey AS n, {_P} AS p, {_W} AS w, {_J} AS j, 'web/n' || s_nationkey || '/p' || s_suppkey || '.html' AS h,
+    {_BASE.format(n='s_nationkey')} || '::Base' || s_nationkey AS base, {_ITEM.format(n='s_nationkey')} || '::Item' || s_nationkey AS item, {_REPO.format(n='s_nationkey')} || '::Repo' || s_nationkey AS repo FROM supplier),
+    g AS (SELECT n_nationkey AS n, {_BASE.format(n='n_nationkey')} AS b, {_ITEM.format(n='n_nationkey')} AS i, {_REPO.format(n='n_nationkey')} AS r FROM nation)"""
+
+
+def _union(rows: str) -> str:
+    return " UNION ALL ".join(f"SELECT {r}" for r in rows.strip().split("\n"))
+
+
+@query(
+    f"{_OF} "
+    + _union(
+        """p || '::' || p AS from_id, base AS to_id, 'import' AS kind, 'import' AS method FROM f
+p || '::' || p, 'external::json::json', 'import', 'import' FROM f
+p || '::Sup' || s, base, 'inherit', 'import' FROM f
+p || '::Sup' || s || '::run', p || '::Sup' || s || '::step', 'call', 'scope' FROM f
+p || '::Sup' || s || '::step', p || '::helper' || s, 'call', 'scope' FROM f
+p || '::helper' || s, base, 'call', 'import' FROM f
+p || '::helper' || s, base || '::ping', 'call', 'scope' FROM f
+p || '::helper' || s, 'external::builtin::print', 'call', 'global_fallback' FROM f
+p || '::helper' || s, 'external::json::json::dumps', 'call', 'import' FROM f
+w || '::' || w, item, 'import', 'import' FROM f
+w || '::Store' || s, item, 'type_use', 'import' FROM f
+w || '::Store' || s || '::load', item || '::show', 'call', 'scope' FROM f
+w || '::Store' || s || '::load', w || '::Store' || s || '::clear', 'call', 'scope' FROM f
+w || '::Store' || s || '::clear', item, 'instantiate', 'import' FROM f
+j || '::J' || s, repo, 'inherit', 'global_fallback' FROM f
+j || '::J' || s || '::save', repo || '::put', 'call', 'scope' FROM f
+h || '::' || h, w || '::' || w, 'import', 'import' FROM f
+i || '::Item' || n || '::show', 'external::builtin::console::log', 'call', 'global_fallback' FROM g"""
+    ),
+    star_graph=False,
+)
+def code_references(spark, d):
+    """What every reference of the program is bound to, and how."""
+    out = build(code.sources(spark, d))[0].resolved
+    return out.select(F.col("from_symbol_id").alias("from_id"), F.col("to_symbol_id").alias("to_id"), "kind", F.col("resolution_method").alias("method"))
+
+
+@query(
+    f"{_OF} "
+    + _union(
+        """p || '::' || p AS id, 'file' AS kind FROM f
+p || '::Sup' || s, 'class' FROM f
+p || '::Sup' || s || '::' || unnest(['run', 'step']), 'function' FROM f
+p || '::helper' || s, 'function' FROM f
+w || '::' || w, 'file' FROM f
+w || '::Store' || s, 'class' FROM f
+w || '::Store' || s || '::item', 'variable' FROM f
+w || '::Store' || s || '::' || unnest(['load', 'clear']), 'method' FROM f
+j || '::' || j, 'file' FROM f
+j || '::J' || s, 'class' FROM f
+j || '::J' || s || '::repo', 'variable' FROM f
+j || '::J' || s || '::save', 'method' FROM f
+h || '::' || h, 'file' FROM f
+h || '::root', 'variable' FROM f
+b || '::' || b, 'file' FROM g
+b || '::Base' || n, 'class' FROM g
+b || '::Base' || n || '::ping', 'function' FROM g
+i || '::' || i, 'file' FROM g
+i || '::Item' || n, 'class' FROM g
+i || '::Item' || n || '::show', 'method' FROM g
+r || '::' || r, 'file' FROM g
+r || '::Repo' || n, 'class' FROM g
+r || '::Repo' || n || '::put', 'method' FROM g
+'::project', 'project'
+unnest(['external::builtin::console', 'external::builtin::print']), 'function'
+unnest(['external::builtin::console::log', 'external::json::json::dumps']), 'method'
+'external::json::json', 'variable'"""
+    ),
+    star_graph=False,
+)
+def code_symbols(spark, d):
+    """All symbols of the program, those outside it included."""
+    return build(code.sources(spark, d))[0].symbols.select("id", "kind")
+
+
+@query(f"{_OF} SELECT 'unresolved_reference' AS kind, 'info' AS severity, p AS file_path, 'cannot resolve missing' || s || '.go' AS message FROM f", star_graph=False)
+def code_diagnostics(spark, d):
+    return build(code.sources(spark, d))[0].diagnostics.select("kind", "severity", "file_path", "message")
+
+
+@query(
+    f"{_OF}, c AS (SELECT n, count(*) AS k FROM f GROUP BY n) SELECT {_BASE.format(n='n')} || '::Base' || n AS id, 3 * k AS n_refs, k AS n_files, false AS untested FROM c",
+    star_graph=False,
+)
+def code_blast_radius(spark, d):
+    """What refers to the classes that suppliers' files import, where the suppliers' files are taken to be tests."""
+    model = build(code.sources(spark, d))[0]
+    nodes, edges = G.build(model.symbols, model.containments, model.resolved)
+    used = edges.where("kind = 'import' and dst rlike '::Base[0-9]+$'").select(F.col("dst").alias("id")).distinct()
+    tested = G.test_covered(nodes, edges, F.col("file_path").rlike(r"/s[0-9]+\.py$"))
+    return V.blast_radius(nodes, edges, used, tested).drop("files")
+
+
 # --- views
 
 
@@ -494,16 +584,8 @@ def api_view(spark, d):
     return W.api(e)
 
 
-@query("SELECT DISTINCT 'c:' || o_custkey AS user, 'p:' || l_partkey AS model FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE l_partkey % 50 = 0")
-def data_view(spark, d):
-    models = star.nodes(spark, d).where((F.col("kind") == "function") & (F.substring("id", 3, 20).cast("long") % 50 == 0))
-    calls = star.edges(spark, d).where("kind <> 'import'")
-    return W.data(calls, models.select("id"), star.nodes(spark, d).where(F.col("id").startswith("c:")).select("id"))
-
-
 @query("SELECT DISTINCT 'c:' || o_custkey AS user, 'p:' || l_partkey AS model FROM lineitem JOIN orders ON o_orderkey = l_orderkey")
-def data_view_all(spark, d):
-    """As data_view, with every part as a model."""
+def data_view(spark, d):
     models = star.nodes(spark, d).where("kind = 'function'")
     calls = star.edges(spark, d).where("kind <> 'import'")
     return W.data(calls, models.select("id"), star.nodes(spark, d).where(F.col("id").startswith("c:")).select("id"))
@@ -656,9 +738,10 @@ def update_partial(spark, d):
     star_graph=False,
 )
 def debounce_sessions(spark, d):
-    e = star.table(spark, d, "events").select("user_id", F.col("ts").cast("timestamp").alias("ts"))
-    s = e.groupBy("user_id", F.session_window("ts", "30 minutes")).agg(F.count("*").alias("n"))
-    return s.groupBy("user_id").agg(F.count("*").alias("sessions"), F.sum("n").alias("n"))
+    from symgraph.streaming.watch import bursts
+
+    e = star.table(spark, d, "events").select("user_id", F.col("event_id").cast("string").alias("path"), F.col("ts").cast("timestamp").alias("ts"))
+    return bursts(e, "30 minutes", keys=["user_id"]).groupBy("user_id").agg(F.count("*").alias("sessions"), F.sum("n").alias("n"))
 
 
 @query("SELECT id, kind, name, file_path FROM sg_nodes")

@@ -37,19 +37,19 @@ def test_the_entry_works_without_the_corpus_operators(tmp_path):
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, check=True, timeout=120)
 
 
-def test_data_view_all_has_every_model(spark):
+def test_data_view_has_every_model(spark):
     lines = spark.read.parquet(f"{DIR}/lineitem.parquet").select("l_orderkey", "l_partkey").collect()
     owner = {r.o_orderkey: r.o_custkey for r in spark.read.parquet(f"{DIR}/orders.parquet").select("o_orderkey", "o_custkey").collect()}
-    got = [(r.user, r.model) for r in Q.QUERIES["data_view_all"](spark, DIR).collect()]
+    got = [(r.user, r.model) for r in Q.QUERIES["data_view"](spark, DIR).collect()]
     assert len(got) == len(set(got))
     assert set(got) == {(f"c:{owner[r.l_orderkey]}", f"p:{r.l_partkey}") for r in lines}
     assert {m for _, m in got} == {f"p:{r.l_partkey}" for r in lines}
 
 
-def test_reverse_index_all_has_every_kind(spark):
+def test_reverse_index_has_every_kind(spark):
     want = {}
     for r in star.edges(spark, DIR).collect():
         want.setdefault((r.dst, r.kind), set()).add(r.src)
-    got = {(r.id, r.kind): r.sources for r in Q.QUERIES["reverse_index_all"](spark, DIR).collect()}
+    got = {(r.id, r.kind): r.sources for r in Q.QUERIES["reverse_index"](spark, DIR).collect()}
     assert got == {k: ",".join(sorted(v)) for k, v in want.items()}
     assert {k for _, k in got} == {"owns", "has_member", "call", "import"}
