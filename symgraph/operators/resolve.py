@@ -153,7 +153,7 @@ def enclosing_class(symbols: DataFrame, containments: DataFrame, ids: DataFrame)
         hit = step.where("is_class").select("id", F.col("up").alias("class_id"))
         out = hit if out is None else out.unionByName(hit)
         # what contains itself is come to once
-        at = step.where("not coalesce(is_class, false)").select("id", F.col("up").alias("cur")).join(seen, ["id", "cur"], "left_anti")
+        at = materialized(step.where("not coalesce(is_class, false)").select("id", F.col("up").alias("cur")).join(seen, ["id", "cur"], "left_anti"), "above")
         seen = seen.unionByName(at)
         if at.isEmpty():
             break

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from symgraph.functions.shared import shared_dir
+
 #: DuckDB (and Spark) SQL of the same graph, to be put before a query.
 CTE = """
 sg_nodes AS (
@@ -32,7 +37,41 @@ def _tagged(tag: str, key: str):
     return F.concat(F.lit(tag), F.col(key).cast("string"))
 
 
+#: Stored tables by application, folder and name, with the state of the files that they were made of.
+_STORED: dict[tuple[str, str, str], tuple[list, str]] = {}
+
+
+def stored(spark: SparkSession, sf_dir: str, name: str, made: Callable[[SparkSession, str], DataFrame], by: str, looked_up: list[str]) -> DataFrame:
+    """What `made` gives, written once for each application and folder, and again when the folder's files change.
+
+    Rows lie in ranges of `by`, so the files' own bounds rule out most of them for one value, and Bloom filters
+    do for the columns `looked_up`; ids, kinds and names reach the scan as pushed filters.
+    """
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(sf_dir)
+    files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(path)
+    state = sorted((f.getPath().getName(), f.getLen(), f.getModificationTime()) for f in files)
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if _STORED.get(key, (None, ""))[0] != state:
+        to = f"{shared_dir(spark)}/star/{name}-{uuid.uuid4().hex}"
+        out = made(spark, sf_dir).repartitionByRange(F.col(by)).sortWithinPartitions(by).write
+        for c in looked_up:
+            out = out.option(f"parquet.bloom.filter.enabled#{c}", "true").option(f"parquet.bloom.filter.expected.ndv#{c}", "100000")
+        out.parquet(to)
+        _STORED[key] = (state, to)
+    return spark.read.parquet(_STORED[key][1])
+
+
 def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(id, kind, name, file_path), stored in order of id."""
+    return stored(spark, sf_dir, "nodes", made_nodes, "id", ["name"])
+
+
+def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(src, dst, kind, method), stored in order of src."""
+    return stored(spark, sf_dir, "edges", made_edges, "src", ["dst"])
+
+
+def made_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(id, kind, name, file_path)"""
     made = []
     for name, tag, key, kind, label, place in (
@@ -50,7 +89,7 @@ def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
-def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+def made_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(src, dst, kind, method)"""
     none, made = F.lit(None).cast("string"), []
     for name, a, b, kind, method in (
