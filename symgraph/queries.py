@@ -156,7 +156,20 @@ def region_uncapped(spark, d):
     return V.distances(star.edges(spark, d), _roots(spark, "c:1"), 3).select("id", "depth")
 
 
-@query()
+def _level(n: int) -> str:
+    """SQL of a level of the capped region: candidates in order of their parents, four a file at most, sixty nodes in all."""
+    held = " UNION ALL ".join(f"SELECT file_path FROM l{i}" for i in range(1, n))
+    seen = " UNION ALL ".join(["SELECT 'c:1' AS id", *(f"SELECT id FROM l{i}" for i in range(1, n))])
+    return f"""c{n} AS (SELECT e.dst AS id, e.file_path, min(struct_pack(a := p.place, b := e.kind, c := e.src)) AS ord FROM l{n - 1} p JOIN e ON e.src = p.id WHERE e.dst NOT IN ({seen}) GROUP BY e.dst, e.file_path),
+    k{n} AS (SELECT *, row_number() OVER (PARTITION BY file_path ORDER BY ord, id){f" + (SELECT count(*) FROM ({held}) h WHERE h.file_path = c{n}.file_path)" if n > 1 else " * 0"} AS used FROM c{n}),
+    l{n} AS (SELECT * FROM (SELECT id, file_path, row_number() OVER (ORDER BY ord, id) AS place FROM k{n} WHERE used <= 4) WHERE place + (SELECT count(*) FROM ({seen})) <= 60)"""
+
+
+@query(
+    f"""WITH e AS (SELECT e.src, e.dst, e.kind, n.file_path FROM sg_edges e JOIN sg_nodes n ON n.id = e.dst), l0 AS (SELECT 'c:1' AS id, '' AS file_path, 0::BIGINT AS place),
+    {_level(1)}, {_level(2)}, {_level(3)}
+    SELECT 'c:1' AS root, * FROM (SELECT id, 0::BIGINT AS distance, place FROM l0 UNION ALL SELECT id, 1, place FROM l1 UNION ALL SELECT id, 2, place FROM l2 UNION ALL SELECT id, 3, place FROM l3)"""
+)
 def region_file_cap(spark, d):
     roots = _roots(spark, "c:1").withColumn("place", F.lit(0))
     return V.region(star.nodes(spark, d), star.edges(spark, d), roots, V.Limits(depth=3, nodes=60, per_file=4))[0]
@@ -642,7 +655,15 @@ def budget_downgrade(spark, d):
     return E.downgraded(p, 300, ["root"]).select("root", "id", "level")
 
 
-@query()
+@query(
+    """WITH p AS (SELECT *, row_number() OVER (PARTITION BY root ORDER BY size DESC, id) AS i FROM
+        (SELECT p_brand || '/' || (p_partkey // 1250) AS root, 'p:' || p_partkey AS id, p_size AS size, p_size::BIGINT * 40 AS body, length(p_name)::BIGINT AS base FROM part)),
+    r(root, i, id, level, total) AS (SELECT root, 0::BIGINT, '', '', sum(base)::BIGINT FROM p GROUP BY root UNION ALL
+        SELECT r.root, p.i, p.id, CASE WHEN total + body <= 8000 THEN 'FULL' WHEN total + least(800, body) <= 8000 THEN 'SNIPPET' ELSE 'SIGNATURE' END,
+            total + CASE WHEN total + body <= 8000 THEN body WHEN total + least(800, body) <= 8000 THEN least(800, body) ELSE 0 END FROM r JOIN p ON p.root = r.root AND p.i = r.i + 1)
+    SELECT root, id, level FROM r WHERE i > 0""",
+    recursive=True,
+)
 def budget_greedy(spark, d):
     p = star.table(spark, d, "part")
     ident = F.concat(F.lit("p:"), F.col("p_partkey").cast("string"))
