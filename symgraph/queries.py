@@ -16,6 +16,7 @@ from symgraph.operators import graph as G
 from symgraph.operators import search as S
 from symgraph.operators import traverse as V
 from symgraph.operators import views as W
+from symgraph.operators.model import scope_members
 from symgraph.sources.extract import build
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -292,6 +293,52 @@ def trigram_match(spark, d):
     return S.trigram_match(nodes, S.trigram_index(nodes), "idge").select("id", "name")
 
 
+_POINTS = """CASE WHEN contains(lower(name), '{t}') THEN (CASE WHEN lower(name) = '{t}' THEN 8 WHEN starts_with(lower(name), '{t}') THEN 6 ELSE 4 END) + (CASE WHEN lower(name) = '{t}' THEN 6 ELSE 3 END) ELSE 0 END
+    + CASE WHEN contains(lower(file_path), '{t}') THEN (CASE WHEN kind IN ('class', 'function') THEN 5 ELSE 2 END) ELSE 0 END"""
+
+
+def _qualified(spark, d):
+    return star.nodes(spark, d).withColumn("qualified_name", F.concat_ws("::", "file_path", "name"))
+
+
+@query("SELECT id FROM sg_nodes WHERE lower(file_path || '::' || name) = 'c1::o' || (SELECT min(o_orderkey) FROM orders WHERE o_custkey = 1) OR lower(file_path || '::' || name) = 'n1::customer#000000001'")
+def qualified_name_exact(spark, d):
+    first = star.table(spark, d, "orders").where("o_custkey = 1").agg(F.min("o_orderkey")).first()[0]
+    nodes = _qualified(spark, d)
+    return S.by_qualified_name(nodes, f"C1::o{first}").unionByName(S.by_qualified_name(nodes, "N1::Customer#000000001")).select("id")
+
+
+@query("SELECT id, lower(file_path || '::' || name) = 'n1::c' AS exact FROM sg_nodes WHERE contains(lower(file_path || '::' || name), 'n1::c')")
+def qualified_name_substring(spark, d):
+    return S.match(_qualified(spark, d), "qualified_name", "N1::C").select("id", "exact")
+
+
+@query("SELECT id, name FROM sg_nodes WHERE name = 'Supplier#000000001' OR file_path || '::' || name = 'c1::O' || (SELECT min(o_orderkey) FROM orders WHERE o_custkey = 1)")
+def find_exact_case(spark, d):
+    first = star.table(spark, d, "orders").where("o_custkey = 1").agg(F.min("o_orderkey")).first()[0]
+    nodes = _qualified(spark, d)
+    wrong = G.find_by_name(nodes, "supplier#000000001").unionByName(G.find_by_qualified_name(nodes, f"c1::o{first}"))
+    return G.find_by_name(nodes, "Supplier#000000001").unionByName(G.find_by_qualified_name(nodes, f"c1::O{first}")).unionByName(wrong).select("id", "name")
+
+
+@query(f"SELECT id, 'widgetqz' AS token, 1::BIGINT AS stage, (0.5 * p)::DOUBLE AS points FROM (SELECT id, {_POINTS.format(t='widget')} AS p FROM sg_nodes) WHERE p > 0")
+def discover_ladder(spark, d):
+    """A token that nothing matches falls back on its longest prefix that something does, at half the points."""
+    return S.cascade(_searched(spark, d), "widgetqz").select("id", "token", F.col("stage").cast("long").alias("stage"), "points")
+
+
+@query("SELECT unnest(['s:1', 'zzzz', 'c:2']) AS spec, unnest([true, false, true]) AS bound", star_graph=False)
+def anchors_all(spark, d):
+    ids, dropped = S.resolve_all(star.nodes(spark, d), ["s:1", "zzzz", "c:2", "s:1"])
+    return spark.createDataFrame([*((i, True) for i in ids), *((i, False) for i in dropped)], "spec string, bound boolean")
+
+
+@query("SELECT kind, CASE WHEN kind IN ('function', 'method', 'class') THEN ends_with(name, '1') END AS covered, count(*) AS n FROM sg_nodes GROUP BY ALL")
+def test_state(spark, d):
+    """Covered, not covered, or of a kind that no test refers to."""
+    return star.nodes(spark, d).groupBy("kind", E.covered(F.col("kind"), F.col("name").endswith("1")).alias("covered")).agg(F.count("*").alias("n"))
+
+
 @query("SELECT id FROM sg_nodes WHERE contains(lower(file_path), 'n1')")
 def path_substring(spark, d):
     return S.match(star.nodes(spark, d), "file_path", "n1").select("id")
@@ -310,8 +357,6 @@ def service_lookup(spark, d):
     return S.services(_searched(spark, d).withColumn("is_service", F.col("name").endswith("7"))).select("id", "name")
 
 
-_POINTS = """CASE WHEN contains(lower(name), '{t}') THEN (CASE WHEN lower(name) = '{t}' THEN 8 WHEN starts_with(lower(name), '{t}') THEN 6 ELSE 4 END) + (CASE WHEN lower(name) = '{t}' THEN 6 ELSE 3 END) ELSE 0 END
-    + CASE WHEN contains(lower(file_path), '{t}') THEN (CASE WHEN kind IN ('class', 'function') THEN 5 ELSE 2 END) ELSE 0 END"""
 _RANK = """SELECT h.id, round(((p * CASE WHEN n >= 2 THEN 1 + (n - 1) * 0.5 ELSE 1 END + CASE WHEN f >= 2 THEN (f - 1) * 8 ELSE 0 END)
         * CASE WHEN kind IN ('class', 'function', 'method') THEN 1.4 ELSE 1 END + CASE WHEN kind <> 'file' AND length(name) <= 12 THEN 2 ELSE 0 END)::DOUBLE, 6) AS score
     FROM h JOIN g ON h.id = g.id JOIN ff ON ff.file_path = g.file_path"""
@@ -567,6 +612,140 @@ def code_blast_radius(spark, d):
     return V.blast_radius(nodes, edges, used, tested).drop("files")
 
 
+# --- routes, models, visibility, errors: the second program of symgraph/code.py
+
+_S = """WITH f AS (SELECT s_suppkey AS s, 'api/s' || s_suppkey || '.py' AS a, 'nest/c' || s_suppkey || '.ts' AS c, 'web/r' || s_suppkey || '.js' AS r, 'ui/v' || s_suppkey || '.jsx' AS v,
+    'ui/box' || s_suppkey || '.js' AS x, 'jv/K' || s_suppkey || '.java' AS j, 'bad/b' || s_suppkey || '.py' AS b FROM supplier)"""
+#: Symbols of each file but its own: path, names from the outermost, kind, kind of the scope, exported, visibility, table, service.
+_OWN = """a, 'Row' || s, 'class', 'global', true, 'public', 'rows' || s, false
+a, 'Row' || s || '::__tablename__', 'variable', 'class', true, 'public', NULL, false
+a, 'read' || s, 'function', 'global', true, 'public', NULL, false
+a, 'save' || s, 'function', 'global', true, 'public', NULL, false
+a, '_own' || s, 'function', 'global', false, 'private', NULL, false
+a, '__very' || s, 'function', 'global', true, 'public', NULL, false
+c, 'Desk' || s, 'class', 'global', true, 'public', NULL, false
+c, 'Desk' || s || '::all', 'method', 'class', true, 'public', NULL, false
+c, 'Desk' || s || '::#hidden', 'method', 'class', true, 'private', NULL, false
+c, 'Mail' || s, 'class', 'global', false, 'public', NULL, true
+r, 'show' || s, 'function', 'global', false, 'public', NULL, false
+r, 'list' || s, 'variable', 'global', false, 'public', NULL, false
+v, 'View' || s, 'function', 'global', true, 'public', NULL, false
+x, 'Box' || s, 'function', 'global', true, 'public', NULL, false
+j, 'K' || s, 'class', 'global', true, 'public', NULL, false
+j, 'K' || s || '::a', 'variable', 'class', false, 'private', NULL, false
+j, 'K' || s || '::b', 'method', 'class', false, 'protected', NULL, false
+j, 'K' || s || '::c', 'method', 'class', true, 'public', NULL, false
+b, 'good' || s, 'function', 'global', true, 'public', NULL, false
+b, 'last' || s, 'function', 'global', true, 'public', NULL, false"""
+_FILES = "SELECT unnest([a, c, r, v, x, j, b]) AS p FROM f"
+_OF_S = f"{_S}, own(p, chain, kind, scope, exported, visibility, table_name, is_service) AS ({' UNION ALL '.join(f'SELECT {r} FROM f' for r in _OWN.splitlines())})"
+
+
+@query(f"{_OF_S} SELECT p || '::' || chain AS id, kind, exported, visibility, table_name, is_service FROM own UNION ALL SELECT p || '::' || p, 'file', true, 'public', NULL, false FROM ({_FILES})", star_graph=False)
+def code_features(spark, d):
+    """All symbols but the project's, with what languages and frameworks say of them; the rest of a file in error is read."""
+    symbols = build(code.features(spark, d))[0].symbols.where("kind <> 'project'")
+    return symbols.select("id", "kind", "exported", "visibility", "table_name", F.coalesce("is_service", F.lit(False)).alias("is_service"))
+
+
+@query(
+    f"""{_S} SELECT 'GET /s/' || s AS endpoint, a || '::read' || s AS id FROM f UNION ALL SELECT 'POST /f/' || s, a || '::save' || s FROM f UNION ALL SELECT 'GET /n/' || s || '/all', c || '::Desk' || s || '::all' FROM f
+    UNION ALL SELECT 'GET /e/' || s, r || '::show' || s FROM f UNION ALL SELECT 'POST /e/' || s, r || '::list' || s FROM f""",
+    star_graph=False,
+)
+def code_endpoints(spark, d):
+    """The handlers of routes as four frameworks declare them."""
+    return S.endpoints(build(code.features(spark, d))[0].symbols, F.col("seq"))
+
+
+@query(
+    f"""{_S} SELECT v || '::' || v AS from_id, x || '::Box' || s AS to_id, 'import' AS kind, 'import' AS method FROM f UNION ALL SELECT v || '::View' || s, x || '::Box' || s, 'renders', 'import' FROM f
+    UNION ALL SELECT b || '::last' || s, b || '::good' || s, 'call', 'scope' FROM f""",
+    star_graph=False,
+)
+def code_feature_references(spark, d):
+    """Bound references: elements of the host language are none, and a file in error keeps those that can be read."""
+    out = build(code.features(spark, d))[0].resolved
+    return out.select(F.col("from_symbol_id").alias("from_id"), F.col("to_symbol_id").alias("to_id"), "kind", F.col("resolution_method").alias("method"))
+
+
+@query(
+    f"""{_S} SELECT a || '::Row' || s AS id, 1 AS n, 'Base' AS names FROM f UNION ALL SELECT a || '::' || a, 2, 'app.get,bp.route' FROM f UNION ALL SELECT r || '::' || r, 2, 'app.get,router.post' FROM f""",
+    star_graph=False,
+)
+def code_unbound(spark, d):
+    """The unbound references of each symbol."""
+    return G.unresolved_references(build(code.features(spark, d))[0].unresolved).select("id", "n", F.array_join("names", ",").alias("names"))
+
+
+@query(
+    f"""{_OF_S} SELECT p || '::' || regexp_extract(chain, '^(.*)::', 1) AS parent_id, p || '::' || chain AS child_id, CASE kind WHEN 'method' THEN 'has_member' ELSE 'owns' END AS kind FROM own WHERE scope = 'class'
+    UNION ALL SELECT '::project', p || '::' || p, 'owns' FROM ({_FILES})""",
+    star_graph=False,
+)
+def code_containments(spark, d):
+    """What holds what: top-level symbols are not linked to their file."""
+    return build(code.features(spark, d))[0].containments.select("parent_id", "child_id", "kind")
+
+
+@query(f"{_OF_S} SELECT p || '::' || chain AS owner, CASE kind WHEN 'class' THEN 'class' ELSE 'function' END AS kind FROM own WHERE kind <> 'variable' UNION ALL SELECT p || '::' || p, 'global' FROM ({_FILES})", star_graph=False)
+def code_scopes(spark, d):
+    """A scope for each file, class and function."""
+    return build(code.features(spark, d))[0].scopes.select(F.col("owner_symbol_id").alias("owner"), "kind")
+
+
+@query(f"{_OF_S} SELECT p || '::' || chain AS id, scope AS kind FROM own", star_graph=False)
+def code_scope_members(spark, d):
+    """The kind of the innermost scope of each symbol."""
+    model = build(code.features(spark, d))[0]
+    return scope_members(model.symbols, model.scopes).join(model.scopes.select(F.col("id").alias("scope_id"), "kind"), "scope_id").select("id", "kind")
+
+
+@query(
+    f"""{_S} SELECT 'parsed' AS what, count(*) AS n FROM f UNION ALL SELECT 'reused', 6 * count(*) FROM f UNION ALL SELECT 'symbols', 27 * count(*) + 2 FROM f UNION ALL SELECT 'bound', 4 * count(*) FROM f""",
+    star_graph=False,
+)
+def code_rebuilt(spark, d):
+    """A second build after one file of each supplier has changed: files read and reused, symbols, and what is bound anew."""
+    before = code.features(spark, d)
+    stored = build(before)[1]
+    other = F.when(F.col("file_path").startswith("bad/"), F.concat("source", F.lit("    print(1)\n"))).otherwise(F.col("source"))
+    after = before.withColumn("source", F.replace(other, F.lit("return good"), F.lit("good"))).withColumn("content_hash", F.sha1("source"))
+    model, _, counts = build(after, stored=stored)
+    numbers = spark.createDataFrame([(k, int(v)) for k, v in counts.items()], "what string, n long")
+    for what, rows in (("symbols", model.symbols), ("bound", model.resolved)):
+        numbers = numbers.unionByName(rows.agg(F.count("*").alias("n")).select(F.lit(what).alias("what"), "n"))
+    return numbers
+
+
+#: A path; whether it is a test (coverage), peripheral in discovery, peripheral among anchors; its language.
+_PATHS = """'src/a{k}.ts', false, false, false, 'typescript'
+'src/tests/a{k}.ts', true, true, true, 'typescript'
+'tests/a{k}.ts', false, true, true, 'typescript'
+'src/a{k}.spec.tsx', true, true, true, 'tsx'
+'pkg/test_a{k}.py', true, true, false, 'python'
+'pkg/a{k}_test.py', true, true, false, 'python'
+'mocks/a{k}.java', false, true, false, 'java'
+'lib/scratch/a{k}.js', false, true, true, 'javascript'
+'lib/scratchpad{k}.jsx', false, true, false, 'jsx'
+'scratchpad{k}.html', false, true, true, 'html'
+'SRC/Test/A{k}.TS', true, true, true, 'typescript'
+'docs/read{k}.md', false, false, false, NULL"""
+
+
+@query(
+    f"""SELECT replace(t, '{{k}}', s_suppkey::VARCHAR) AS path, is_test, peripheral, peripheral_anchor, language
+    FROM supplier, (VALUES {', '.join(f'({r})' for r in _PATHS.splitlines())}) v(t, is_test, peripheral, peripheral_anchor, language)""",
+    star_graph=False,
+)
+def path_classes(spark, d):
+    """What a file's path says of it."""
+    forms = F.array(*[F.lit(r.split("'")[1]) for r in _PATHS.splitlines()])
+    paths = star.table(spark, d, "supplier").select(F.col("s_suppkey").cast("string").alias("k"), F.explode(forms).alias("t")).select(F.replace("t", F.lit("{k}"), F.col("k")).alias("path"))
+    p = F.col("path")
+    return paths.select("path", T.is_test_file(p).alias("is_test"), T.is_peripheral(p).alias("peripheral"), T.is_peripheral_anchor(p).alias("peripheral_anchor"), T.language_of(p).alias("language"))
+
+
 # --- views
 
 

@@ -101,10 +101,43 @@ class Reader(ast.NodeVisitor):
             self.f.refer("import", [name], self.at(a), "import_from_statement", path, a.name if a.asname else None)
 
 
+def parsed(text: str) -> tuple[ast.Module | None, int | None]:
+    """(tree, line of the first error): what can be read around lines that are in error.
+
+    Such a line becomes an empty statement, and if that won't do an empty line, as do the lines of a block that has lost its head. The
+    number of lines stays, and each step changes one at least, so this ends.
+    """
+    lines, first = re.split("\r\n|\r|\n", text), None
+    changed: dict[int, int] = {}
+    while True:
+        try:
+            return ast.parse("\n".join(lines)), first
+        except SyntaxError as e:
+            at = min(max(0, (e.lineno or 1) - 1), len(lines) - 1)
+            orphan = isinstance(e, IndentationError) and "unexpected indent" in (e.msg or "") and lines[at].strip() != ""
+        except ValueError:
+            return None, 0
+        first = at if first is None else first
+        deep = lambda s: len(s) - len(s.lstrip())
+        if orphan:
+            depth, end = deep(lines[at]), at
+            while end < len(lines) and (not lines[end].strip() or deep(lines[end]) >= depth):
+                end += 1
+            lines[at:end] = [""] * (end - at)
+        elif changed.get(at, 0) < 2 and lines[at].strip():
+            lines[at] = lines[at][: deep(lines[at])] + "pass" if at not in changed else ""
+            changed[at] = changed.get(at, 0) + 1
+        else:
+            above = next((i for i in range(at - 1, -1, -1) if lines[i].strip()), None)
+            if above is None:
+                return None, first
+            lines[above] = ""
+
+
 def read(facts: Facts, text: str) -> None:
-    try:
-        tree = ast.parse(text)
-    except (SyntaxError, ValueError) as e:
-        facts.problem(max(0, (getattr(e, "lineno", None) or 1) - 1))
-        return
-    Reader(facts, re.split("\r\n|\r|\n", text)).visit(tree)
+    """Symbols and references of all that can be read; an error elsewhere in the file is a diagnostic."""
+    tree, wrong = parsed(text)
+    if wrong is not None:
+        facts.problem(wrong)
+    if tree is not None:
+        Reader(facts, re.split("\r\n|\r|\n", text)).visit(tree)

@@ -95,3 +95,28 @@ def test_walk_and_ignore(tmp_path):
     rules = ignore_rules("/top\n**/deep/*.js\n")
     assert ignored("top", False, rules) and not ignored("a/top", False, rules) and ignored("x/deep/y.js", False, rules)
     assert language("A.TSX") == "tsx" and language("Makefile") is None
+
+
+def test_a_python_file_in_error_keeps_what_can_be_read():
+    cases = [
+        ("def a(:\n  x\n  y\n\ndef b():\n  return 1\n", 0, {"b"}),
+        ("class A:\n  def m(self):\n    q = = 1\n    return 2\n  def n(self): pass\n", 2, {"A", "m", "n"}),
+        ("x = (\n  1\ndef f():\n  pass\n", 0, {"f"}),
+        ("'''abc\ndef f(): pass", 0, {"f"}),
+        ("\t\n if", 1, set()),
+        ("def ok(): pass\n", None, {"ok"}),
+        ("", None, set()),
+    ]
+    for text, line, names in cases:
+        rows = facts_of("m.py", "python", text)
+        assert {s["name"] for s in rows["symbols"] if s["kind"] in ("class", "function", "method")} == names
+        assert [d["start_line"] for d in rows["diagnostics"]] == ([] if line is None else [line])
+
+
+def test_broken_python_of_any_kind_is_read_to_its_end():
+    """Each cut and each doubled line of a file ends in facts, with the file's own symbol."""
+    text = "class A(B):\n    x = (1,\n         2)\n    def m(self):\n        return '''a\nb'''\n\n@app.get('/x')\ndef f():\n    if 1:\n        g([1, 2])\n"
+    lines = text.split("\n")
+    made = [text[:i] for i in range(len(text))] + ["\n".join(lines[:i] + lines[i : i + 1] * 2 + lines[i + 2 :]) for i in range(len(lines))] + [text[i:] for i in range(0, len(text), 3)]
+    for t in made:
+        assert sum(s["kind"] == "file" for s in facts_of("m.py", "python", t)["symbols"]) == 1
