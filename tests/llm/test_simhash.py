@@ -146,3 +146,32 @@ def test_similarity_decides_at_the_edge(spark):
     want = {i for i in range(1, len(texts), 2) if jaccard(texts[i], texts[i - 1]) >= 0.8}
     got = {r.doc_id for r in S.one_of_each(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).select("doc_id").collect()}
     assert set(range(len(texts))) - got == want and 40 < len(want) < 130 and len(texts) - 1 in want
+
+
+def test_planted_copies_are_found_as_brute_force_finds_them(spark):
+    """The documents kept of a whole table are those that all pairs of similarity 0.8 or more, by brute force, leave."""
+    df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = [(r.doc_id, set(S.shingle_set(r.text, 5).tolist())) for r in df.select("doc_id", "text").collect()]
+    root, at, linked = list(range(len(rows))), {}, 0
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for j, (_, h) in enumerate(rows):
+        both = {}
+        for x in h:
+            for i in at.setdefault(x, []):
+                both[i] = both.get(i, 0) + 1
+            at[x].append(j)
+        for i, n in both.items():
+            if n >= 0.8 * (len(h) + len(rows[i][1]) - n):
+                linked += h != rows[i][1]
+                root[max(find(i), find(j))] = min(find(i), find(j))
+    least = {}
+    for i, (d, h) in enumerate(rows):
+        k = find(i) if h else None
+        least[k] = min(d, least.get(k, d))
+    want = {d for i, (d, h) in enumerate(rows) if least[find(i) if h else None] == d}
+    assert {r.doc_id for r in S.one_of_each(df).select("doc_id").collect()} == want and len(want) < len(rows) - 20 and linked >= 10
