@@ -82,9 +82,14 @@ def doc_comment(lines: list[str], start: int) -> str | None:
 
 
 def merge_spans(spans: DataFrame, key: list[str], gap: int = GAP) -> DataFrame:
-    """Spans (key, lo, hi) merged where the next begins at most `gap` after the last has ended: (key, lo, hi, n)."""
-    before = Window.partitionBy(*key).orderBy("lo", "hi").rowsBetween(Window.unboundedPreceding, -1)
-    upto = Window.partitionBy(*key).orderBy("lo", "hi").rowsBetween(Window.unboundedPreceding, 0)
+    """Spans (key, lo, hi) merged where the next begins at most `gap` after the last has ended: (key, lo, hi, n).
+
+    Spans without an end come last of those that begin with them, so they join what is open there. Equal spans need no
+    order among themselves: both windows read one sort.
+    """
+    order = [F.asc_nulls_last("lo"), F.asc_nulls_last("hi")]
+    before = Window.partitionBy(*key).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    upto = Window.partitionBy(*key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     new = F.when(F.col("lo") <= F.max("hi").over(before) + gap, 0).otherwise(1)
     marked = spans.select(*key, "lo", "hi").withColumn("new", new).withColumn("island", F.sum("new").over(upto))
     return marked.groupBy(*key, "island").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.count("*").alias("n")).drop("island")

@@ -819,7 +819,12 @@ def dashboard_filter(spark, d):
 )
 def span_merge(spark, d):
     e = star.table(spark, d, "events")
-    minute = F.floor(F.unix_seconds(F.col("ts").cast("timestamp")) / 60).cast("long")
+    # a time without a zone is UTC, whatever the session's zone; minutes are cut towards zero
+    if dict(e.dtypes)["ts"] == "timestamp_ntz":
+        seconds = F.unix_date(F.col("ts").cast("date")).cast("long") * 86400 + F.hour("ts") * 3600 + F.minute("ts") * 60 + F.second("ts")
+    else:
+        seconds = F.unix_seconds(F.col("ts").cast("timestamp"))
+    minute = F.call_function("div", seconds, F.lit(60))
     return E.merge_spans(e.select("user_id", minute.alias("lo"), (minute + F.floor("value").cast("long") % 7).alias("hi")), ["user_id"])
 
 
