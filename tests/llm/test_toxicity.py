@@ -74,3 +74,47 @@ def test_empty(spark):
     empty = spark.createDataFrame([], SCHEMA), spark.createDataFrame([], LABELS)
     assert T.score(*empty).collect() == []
     assert [r.predicted for r in T.score(spark.createDataFrame([(1, "a", None, None)], SCHEMA), empty[1]).collect()] == [0]
+
+
+def test_all_labelled_rows_and_whole_texts_are_learned_from(spark, monkeypatch):
+    """Counts, training and thresholds cover every labelled row, more than any sample held; how tasks are dealt does not matter."""
+    rows, labels = corpus(6000)
+    rows = [(i, t if i else t + " filler" * 9000, g, c) for i, t, g, c in rows]
+    own = [r for r in rows if zlib.crc32(str(r[0]).encode()) % 5]
+    primed, calibrated, seen, checked = T.primed, T.set_thresholds, [], []
+    monkeypatch.setattr(T, "SHARD", 1000)
+    monkeypatch.setattr(T, "primed", lambda m, s, n0, n1: seen.append((s, n0, n1)) or primed(m, s, n0, n1))
+    monkeypatch.setattr(T, "set_thresholds", lambda m, *a: checked.append(a[-1].sum()) or calibrated(m, *a))
+    models = []
+    for parts in (1, 5):
+        docs = spark.createDataFrame(rows, SCHEMA).repartition(parts)
+        models.append(T.learned(docs, spark.createDataFrame(labels, LABELS), T.F.pmod(T.crc32_of_id(), T.F.lit(5)) != 0))
+    assert seen[0][1] + seen[0][2] + checked[0] == len(own) > 4500 and checked[0] > 1000
+    at = T.slots_of(words_of(["zork"]))[0, 0]
+    found = sum("zork" in r[1].split() for r in own)
+    assert 0.6 * found < seen[0][0][:, at].sum() < 0.9 * found
+    a, b = models
+    assert (a.table == b.table).all() and (a.out == b.out).all() and (a.thresholds == b.thresholds).all() and all((f == g).all() for f, g in zip(a.filters, b.filters, strict=True))
+    p = T.score_texts([r[1] for r in rows], a) >= 0.5
+    assert np.mean(p == np.array([x[2] for x in labels])) > 0.95
+
+
+def test_words_of_a_long_text_are_all_counted(spark):
+    known = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, toxic int")
+    docs = spark.createDataFrame([(1, "one " * 30_000 + "last", "en"), (1, "two", "en"), (2, None, None), (3, "x", "en")], "doc_id long, text string, lang string")
+    got = T.word_rows(docs, known).collect()
+    assert sorted(len(T.slots_in(r.slots)) for r in got) == [0, 1, 30_001]
+    seen, endings = T.counted(T.word_rows(docs, known), [""], True)
+    assert seen[1][np.unique(T.slots_of(words_of(["last"])))].min() >= 1 and endings.sum() == T.ENDINGS + 30_002
+
+
+def test_peaks_by_pieces_are_those_of_the_whole(monkeypatch):
+    rows, labels = corpus(120)
+    m = T.fit([r[1] for r in rows], [x[2] for x in labels], ["en"] * 120)
+    texts = ["", "zork", *(" ".join(r[1] for r in rows[a : a + 5]) for a in range(0, 60, 5))]
+    docs = [T.slots_of(words_of([t])) for t in texts]
+    want = T.tops(words_of(texts), m)
+    for together in (1 << 16, 90, 7):
+        monkeypatch.setattr(T, "TOGETHER", together)
+        top, where = T.peaks(docs, m)
+        assert np.abs(top - want).max() < 1e-4 and all((where[i] < max(1, len(d))).all() for i, d in enumerate(docs))
