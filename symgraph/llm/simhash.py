@@ -13,7 +13,8 @@ not all pairs.
 `one_of_each` asks for a similarity instead: 0.8 or more is up to a fifth of the bits, too many for blocks of
 bits. There fingerprints are 256 bits wide, and documents meet in the buckets of their least shingle hashes: of two
 that share four shingles in five, one of eight such hashes is the same but for three cases in a million. Sizes of the
-shingle sets and a loose bound of bits only pick the documents whose shingles are compared; the similarity decides.
+shingle sets, the pivot distance table and a loose bound of bits, in this order, only pick the documents whose shingles are
+compared; the similarity decides.
 """
 
 from __future__ import annotations
@@ -266,11 +267,8 @@ def bits_for(similarity: float, deviations: int = 1) -> int:
     return int(n * share + deviations * math.sqrt(n * share * (1 - share)))
 
 
-def similar_links(fps: DataFrame, most_bits: int, pivots: int = PIVOTS, large: int = LARGE) -> DataFrame:
-    """Links (a, b) between the `node`s of `fps` (node, f0 .. f3, keys) that share a key and differ in `most_bits` at most.
-
-    A key with very many nodes is dealt again by pairs, then triples, of a node's keys.
-    """
+def pivoted(fps: DataFrame, pivots: int = PIVOTS) -> DataFrame:
+    """Adds p0, p1, ... to `fps` (f0 .. f3, other columns): the distances of the wide fingerprints to eight pivots each, one a byte."""
     parts = [f"f{i}" for i in range(PARTS)]
     chosen = fps.select(*parts).orderBy(F.xxhash64(*parts), *parts).limit(pivots).collect()
     table = []
@@ -280,7 +278,16 @@ def similar_links(fps: DataFrame, most_bits: int, pivots: int = PIVOTS, large: i
             far = sum((F.bit_count(F.col(c).bitwiseXOR(F.lit(r[c]).cast("long"))) for c in parts), F.lit(0))
             packed = packed + F.shiftleft(F.least(far, F.lit(255)).cast("long"), 8 * j)
         table.append(packed.alias(f"p{i // 8}"))
-    return compared(in_buckets(fps.select("node", *parts, "keys", *table), large), most_bits).where("a <> b").distinct()
+    return fps.select("*", *table)
+
+
+def similar_links(fps: DataFrame, most_bits: int, pivots: int = PIVOTS, large: int = LARGE) -> DataFrame:
+    """Links (a, b) between the `node`s of `fps` (node, f0 .. f3, keys) that share a key and differ in `most_bits` at most.
+
+    A key with very many nodes is dealt again by pairs, then triples, of a node's keys.
+    """
+    rows = pivoted(fps.select("node", *[f"f{i}" for i in range(PARTS)], "keys"), pivots)
+    return compared(in_buckets(rows, large), most_bits).where("a <> b").distinct()
 
 
 def in_buckets(fps: DataFrame, large: int = LARGE) -> DataFrame:
@@ -316,27 +323,35 @@ def pairs_of_size(key: np.ndarray, n: np.ndarray, similarity: float) -> Iterator
         lag += 1
 
 
-def ordered(pdf: pd.DataFrame) -> tuple[pd.DataFrame, np.ndarray]:
-    """Rows in order of (key, n), and their fingerprints."""
+def ordered(pdf: pd.DataFrame) -> tuple[pd.DataFrame, np.ndarray, np.ndarray]:
+    """Rows in order of (key, n), their fingerprints and their distances to the pivots."""
     pdf = pdf.sort_values(["key", "n", "node"], ignore_index=True)
-    return pdf, np.stack([pdf[f"f{i}"].to_numpy() for i in range(PARTS)], axis=1).view(np.uint64)
+    packed = np.stack([pdf[c].to_numpy() for c in sorted(x for x in pdf.columns if x[0] == "p")], axis=1)
+    return pdf, np.stack([pdf[f"f{i}"].to_numpy() for i in range(PARTS)], axis=1).view(np.uint64), packed.astype("<i8").view(np.uint8).astype(np.int16)
+
+
+def near_bits(fp: np.ndarray, table: np.ndarray, a: np.ndarray, b: np.ndarray, most_bits: int) -> np.ndarray:
+    """Which pairs of rows differ in `most_bits` at most: by the greatest difference of their distances to a pivot, then by their own distance."""
+    near = np.abs(table[a] - table[b]).max(axis=1, initial=0) <= most_bits
+    near[near] = np.bitwise_count(fp[a[near]] ^ fp[b[near]]).sum(axis=1, dtype=np.int64) <= most_bits
+    return near
 
 
 def maybe_similar(pdf: pd.DataFrame, most_bits: int, similarity: float) -> pd.DataFrame:
-    """The rows that may be similar to another of their bucket, by size and bits."""
-    pdf, fp = ordered(pdf)
+    """The rows that may be similar to another of their bucket, by size, pivots and bits."""
+    pdf, fp, table = ordered(pdf)
     met = np.zeros(len(pdf), bool)
     for a, b in pairs_of_size(pdf["key"].to_numpy(), pdf["n"].to_numpy(), similarity):
         new = ~(met[a] & met[b])
         a, b = a[new], b[new]
-        near = np.bitwise_count(fp[a] ^ fp[b]).sum(axis=1, dtype=np.int64) <= most_bits
+        near = near_bits(fp, table, a, b, most_bits)
         met[a[near]] = met[b[near]] = True
     return pdf[met]
 
 
 def similar_within(pdf: pd.DataFrame, most_bits: int, similarity: float) -> pd.DataFrame:
     """Links (a, b) that join what is similar in each bucket, by the shingles `h` themselves."""
-    pdf, fp = ordered(pdf)
+    pdf, fp, table = ordered(pdf)
     n, node, sets = pdf["n"].to_numpy(), pdf["node"].to_numpy(), [np.asarray(h) for h in pdf["h"]]
     parent, group, out = list(range(len(pdf))), np.arange(len(pdf)), []
 
@@ -348,7 +363,7 @@ def similar_within(pdf: pd.DataFrame, most_bits: int, similarity: float) -> pd.D
     for a, b in pairs_of_size(pdf["key"].to_numpy(), n, similarity):
         apart = group[a] != group[b]
         a, b = a[apart], b[apart]
-        near = np.bitwise_count(fp[a] ^ fp[b]).sum(axis=1, dtype=np.int64) <= most_bits
+        near = near_bits(fp, table, a, b, most_bits)
         before = len(out)
         for i, j in zip(a[near].tolist(), b[near].tolist(), strict=True):
             x, y = root(i), root(j)
@@ -365,12 +380,14 @@ def similar_within(pdf: pd.DataFrame, most_bits: int, similarity: float) -> pd.D
 def verified_links(docs: DataFrame, fps: DataFrame, words: int, similarity: float, large: int = LARGE) -> DataFrame:
     """Links (a, b) that join the `node`s of `fps` (node, f0 .. f3, keys, n, whole) whose shingle sets are as similar or more.
 
-    Shingles are made again from the texts of `docs` (doc_id, text), only where size and bits leave a pair possible.
+    Distances to the pivots are computed once for each node. Shingles are made again from the texts of `docs` (doc_id, text),
+    only where size, pivots and bits leave a pair possible.
     """
     parts, most_bits = [f"f{i}" for i in range(PARTS)], bits_for(similarity, SPARE)
-    rows = in_buckets(fps.select("node", *parts, "n", "whole", "keys"), large)
-    kinds = "node long, f0 long, f1 long, f2 long, f3 long, n int, whole long, key long"
-    some = written(in_runs(rows.select("node", *parts, "n", "whole", "key"), lambda pdf: maybe_similar(pdf, most_bits, similarity), kinds), "maybe")
+    far = written(pivoted(fps.select("node", *parts, "n", "whole", "keys")), "pivots")
+    held = [c for c in far.columns if c != "keys"]
+    kinds = ", ".join(f"{c} {'int' if c == 'n' else 'long'}" for c in [*held, "key"])
+    some = written(in_runs(in_buckets(far, large).select(*held, "key"), lambda pdf: maybe_similar(pdf, most_bits, similarity), kinds), "maybe")
     wanted = some.select("node", "whole").distinct()
 
     @F.pandas_udf("h array<long>, own long")

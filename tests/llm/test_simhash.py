@@ -175,3 +175,23 @@ def test_planted_copies_are_found_as_brute_force_finds_them(spark):
         least[k] = min(d, least.get(k, d))
     want = {d for i, (d, h) in enumerate(rows) if least[find(i) if h else None] == d}
     assert {r.doc_id for r in S.one_of_each(df).select("doc_id").collect()} == want and len(want) < len(rows) - 20 and linked >= 10
+
+
+def test_the_pivot_table_discards_pairs_of_wide_fingerprints(spark):
+    """`one_of_each` goes by the pivots first; they lose no pair within the bits, and discard pairs without their own distance."""
+    rng, bits = np.random.default_rng(4), S.bits_for(0.8, S.SPARE)
+    base = rng.integers(0, 1 << 64, (40, S.PARTS), np.uint64)
+    fp = np.concatenate([base ^ (np.uint64(1) << rng.integers(0, 64, base.shape, np.uint64)) for _ in range(6)])
+    rows = pd.DataFrame(fp.view(np.int64), columns=[f"f{i}" for i in range(S.PARTS)]).assign(node=np.arange(len(fp)), key=7, n=100, whole=0)
+    far = S.pivoted(spark.createDataFrame(rows)).toPandas()
+    assert {"p0", "p1"} <= set(far.columns)
+    pdf, own, table = S.ordered(far)
+    a, b = np.triu_indices(len(pdf), 1)
+    want = np.bitwise_count(own[a] ^ own[b]).sum(axis=1, dtype=np.int64) <= bits
+    assert (S.near_bits(own, table, a, b, bits) == want).all() and want.sum() >= 40 * 15
+    discarded = np.abs(table[a] - table[b]).max(axis=1) > bits
+    assert discarded.any() and not (discarded & want).any()
+    # the table decides before the distance: a pair whose table says far is not compared, though the bits are the same
+    two = far.iloc[[0, 0]].assign(node=[0, 1], p0=[0, 0x7F])
+    assert len(S.maybe_similar(two.assign(p0=0), bits, 0.8)) == 2 and len(S.maybe_similar(two, bits, 0.8)) == 0
+    assert len(S.similar_within(two.assign(p0=0, h=[[1, 2], [1, 2]], n=2), bits, 0.8)) == 1 and len(S.similar_within(two.assign(h=[[1, 2], [1, 2]], n=2), bits, 0.8)) == 0
