@@ -39,11 +39,11 @@ def shared_path(spark: SparkSession, name: str, held: bool = True) -> str:
     return path
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, compression: str | None = None) -> DataFrame:
     """`df` as a Parquet table in the shared folder: computed once, with no lineage, safe from lost executors."""
     spark = df.sparkSession
     path = shared_path(spark, name)
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     return spark.read.schema(df.schema).parquet(path)
 
 

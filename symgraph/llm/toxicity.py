@@ -19,7 +19,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import crc32_of_id, maybe_in, text_batches, text_or_empty, written
@@ -321,7 +321,11 @@ def known_labels(labels: DataFrame, learn: Column) -> DataFrame:
 
 
 def word_rows(docs: DataFrame, known: DataFrame) -> DataFrame:
-    """(h, toxic, lang, check, slots, ends) of every row of `docs` whose doc_id is in `known`: slots of all its words, and their endings."""
+    """(shard, h, toxic, lang, check, slots, ends) of every row of `docs` whose doc_id is in `known`: slots of all its words, and their endings.
+
+    Rows to `check` lie in shards of their own, behind the others; without both kinds on each side there are none. Labels are joined
+    to hashes, and come to the texts in the shuffle that deals these to shards: texts are moved once, whatever the size of `known`.
+    """
 
     @F.pandas_udf("slots binary, ends binary")
     def of(texts: pd.Series) -> pd.DataFrame:
@@ -339,10 +343,22 @@ def word_rows(docs: DataFrame, known: DataFrame) -> DataFrame:
 
     text_batches(docs.sparkSession)
     rows = docs.where("doc_id is not null").select("doc_id", text_or_empty().alias("t"), F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("lang"))
-    rows = maybe_in(rows, known.select(F.xxhash64("doc_id").alias("k")), F.xxhash64("doc_id"), "__maybe").where("__maybe").drop("__maybe").join(known, "doc_id")
-    h = F.xxhash64("doc_id", "t")
-    rows = rows.select(h.alias("h"), "toxic", "lang", (F.pmod(F.xxhash64(h, F.lit(2)), F.lit(4)) == 0).alias("check"), of("t").alias("w"))
-    return written(rows.select("h", "toxic", "lang", "check", "w.slots", "w.ends"), "words")
+    rows = maybe_in(rows, known.select(F.xxhash64("doc_id").alias("k")), F.xxhash64("doc_id"), "__maybe").where("__maybe").drop("__maybe")
+    rows = rows.withColumn("h", F.xxhash64("doc_id", "t"))
+    labelled = written(rows.select("doc_id", "h").join(known, "doc_id").select("doc_id", "h", "toxic"), "labelled")
+    check = F.pmod(F.xxhash64("h", F.lit(2)), F.lit(4)) == 0
+    n = {(r["check"], r["toxic"]): r["count"] for r in labelled.groupBy(check.alias("check"), "toxic").count().collect()}
+    if any(not n.get((c, k)) for c in (False, True) for k in (0, 1)):
+        check = F.lit(False)
+        n = {(False, None): sum(n.values())}
+    count, more = (max(1, -(-sum(v for (c, _), v in n.items() if c == side) // SHARD)) for side in (False, True))
+    place = F.xxhash64("h", F.lit(1))
+    shard = F.when(check, count + F.pmod(place, F.lit(more))).otherwise(F.pmod(place, F.lit(count))).cast("int")
+    both = rows.withColumn("toxic", F.lit(None).cast("int")).unionByName(labelled, allowMissingColumns=True).withColumns({"shard": shard, "check": check})
+    tasks = min(count + more, 2000)
+    both = both.withColumn("task", F.floor(F.col("shard").cast("long") * tasks / (count + more)).cast("int")).repartitionById(tasks, F.col("task"))
+    both = both.withColumn("toxic", F.max("toxic").over(Window.partitionBy("task", "shard", "h", "doc_id"))).where("t is not null and toxic is not null")
+    return written(both.select("shard", "h", "toxic", "lang", "check", of("t").alias("w")).select("shard", "h", "toxic", "lang", "check", "w.slots", "w.ends"), "words", "zstd")
 
 
 def slots_in(raw: bytes) -> np.ndarray:
@@ -386,7 +402,7 @@ def whole_files(spark: SparkSession) -> dict[str, str | None]:
 
 
 def trained(shards: DataFrame, m: Model, moved: Moved, balance: float, step: float) -> None:
-    """One round over `shards` (shard, h, toxic, slots), sorted, of which no task holds a part: all go on from `m`, which becomes their mean."""
+    """One round over `shards` (shard, toxic, slots), sorted, of which no task holds a part: all go on from `m`, which becomes their mean."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         n, own, sums, held, shard = np.zeros(SLOTS, np.int64), None, None, [], None
@@ -430,7 +446,8 @@ def trained(shards: DataFrame, m: Model, moved: Moved, balance: float, step: flo
 
     values = ["a", *(f"v{i}" for i in range(DIM))]
     out = shards.select("shard", "toxic", "slots").mapInPandas(run, "at int, n long, " + ", ".join(f"{v} long" for v in values))
-    mean = [(F.sum(F.col(v).cast("decimal(38,0)")).cast("double") / F.sum("n")).alias(v) for v in values]
+    # a shard moves a weight by less than 16, so 2^23 shards fit into a long; squared gradients have no such bound
+    mean = [(F.sum(F.col(v).cast("decimal(38,0)") if v == "a" else v).cast("double") / F.sum("n")).alias(v) for v in values]
     got = out.groupBy("at").agg(*mean).toArrow().to_pandas().sort_values("at")
     slot, rest = got[got["at"] < SLOTS], got[got["at"] >= SLOTS]
     at = slot["at"].to_numpy()
@@ -479,9 +496,7 @@ def learned(docs: DataFrame, labels: DataFrame, learn: Column, rounds: int = 5,
     if not n0 or not n1:
         return constant(m, n1 > 0)
     moved = primed(m, seen, n0, n1)
-    count = -(-(n0 + n1) // SHARD)
-    dealt = (rows if checked else rows.where("not check")).select(F.pmod(F.xxhash64("h", F.lit(1)), F.lit(count)).cast("int").alias("shard"), "h", "toxic", "slots")
-    shards = written(dealt.repartitionByRange(min(count, 2000), "shard").sortWithinPartitions("shard", "h", "toxic", "slots"), "shards")
+    shards = rows if checked else rows.where("not check")
     before = whole_files(spark)
     try:
         for turn in range(rounds):

@@ -1,3 +1,4 @@
+import os
 import random
 import zlib
 
@@ -118,3 +119,42 @@ def test_peaks_by_pieces_are_those_of_the_whole(monkeypatch):
         monkeypatch.setattr(T, "TOGETHER", together)
         top, where = T.peaks(docs, m)
         assert np.abs(top - want).max() < 1e-4 and all((where[i] < max(1, len(d))).all() for i, d in enumerate(docs))
+
+
+def test_texts_are_moved_and_kept_once_whatever_the_size_of_labels(spark, monkeypatch):
+    """Without a broadcast of labels, as where they are many, no more is shuffled than with it: the texts, once; and one table holds their words."""
+    rng = random.Random(4)
+    words = ["".join(rng.choices("abcdefghijklmnop", k=rng.randint(2, 9))) for _ in range(3000)]
+    rows = [(i, " ".join(rng.choices(words, k=1500)), "en", None) for i in range(400)]
+    docs = spark.createDataFrame(rows, SCHEMA).repartition(4).localCheckpoint()
+    labels = spark.createDataFrame([(i, 1, int(i % 4 == 0)) for i in range(400)], LABELS).localCheckpoint()
+    tables, keep = [], T.written
+    monkeypatch.setattr(T, "written", lambda *a: tables.append(keep(*a)) or tables[-1])
+    monkeypatch.setattr(T, "trained", lambda *a: None)
+    sc, moved = spark.sparkContext._jsc.sc(), []
+    for most in ("-1", "10485760"):
+        monkeypatch.setattr(T, "counted", lambda rows, languages, checked: (np.zeros((2, T.SLOTS)), np.ones((T.ENDINGS, len(languages)))))
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", most)
+        sc.listenerBus().waitUntilEmpty()
+        before = sc.statusStore().executorSummary("driver").totalShuffleWrite()
+        T.learned(docs, labels, T.F.lit(True))
+        sc.listenerBus().waitUntilEmpty()
+        moved.append(sc.statusStore().executorSummary("driver").totalShuffleWrite() - before)
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    kept = sum(os.path.getsize(f.removeprefix("file:")) for t in tables for f in t.inputFiles()) / 2
+    size = sum(len(r[1]) for r in rows)
+    assert moved[0] < 1.05 * moved[1] + 10_000 and moved[0] < size and kept < 1.2 * size, (moved, kept, size)
+
+
+def test_shards_are_whole_and_apart_from_what_is_checked(spark, monkeypatch):
+    rows, labels = corpus(900)
+    rows += [rows[8], rows[8], (9, "another", "de", None), (None, "zork", "en", None), (5000, "no label", "en", None)]
+    monkeypatch.setattr(T, "SHARD", 100)
+    docs, known = spark.createDataFrame(rows, SCHEMA).repartition(6), spark.createDataFrame([(i, t) for i, _, t in labels], "doc_id long, toxic int")
+    got = T.word_rows(docs, known).withColumn("file", T.F.input_file_name()).collect()
+    assert len(got) == 903 and sum(r.toxic for r in got) == sum(x[2] for x in labels) + 2
+    assert sorted(r.slots for r in got) == sorted(T.slots_of(words_of([t])).astype("<u2").tobytes() for i, t, _, _ in rows if i is not None and i < 5000)
+    assert len({(r.shard, r.file) for r in got}) == len({r.shard for r in got}) > 8
+    assert max(r.shard for r in got if not r.check) < min(r.shard for r in got if r.check)
+    order = [(r.shard, r.h) for f in sorted({r.file for r in got}) for r in got if r.file == f]
+    assert all(a <= b for a, b in zip(order[:-1], order[1:], strict=True) if a[0] == b[0])
